@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .chat_format import digests, format_chats, read_back
 from .common import scratch, table
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .toxicity import toxicity
 from .warc import read_warc, write_warc
 
 
@@ -46,6 +48,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_warc, op4_packing, op5_simhash, op8_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_warc, op4_packing, op5_simhash, op6_toxicity, op7_licenses, op8_quality, op10_exact_dedup)}
 
 SQL = {
     # the windows, which formatted_chars and n_windows depend on, are replayed turn by turn
