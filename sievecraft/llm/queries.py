@@ -13,6 +13,7 @@ from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import repeated_spans
 from .toxicity import toxicity
 from .warc import read_warc, write_warc
 
@@ -60,11 +61,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_warc, op4_packing, op5_simhash, op6_toxicity, op7_licenses, op8_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_warc, op4_packing, op5_simhash, op6_toxicity, op7_licenses, op8_quality, op9_suffix_dedup, op10_exact_dedup)}
 
 SQL = {
     # the windows, which formatted_chars and n_windows depend on, are replayed turn by turn
