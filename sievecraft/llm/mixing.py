@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, word_count, written
+from .common import broadcast_within, internal, word_count, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Above this many sources, tables of one row per source are joined by sort-merge instead of a broadcast.
@@ -148,3 +148,13 @@ def entropy_mix(
 def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
     """entropy_mix over documents; size is the number of words of the text, 0 for a null text."""
     return entropy_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), **kwargs)
+
+
+def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of docs in as many whole copies as the mix takes; rows that share a doc_id come in the same number of copies. Null doc_ids come once."""
+    copies = mix_documents(docs, **kwargs).groupBy("doc_id").agg(F.max("copies").alias(internal("copies")))
+    right = copies.select(F.col("doc_id").alias(internal("id")), internal("copies"))
+    joined = docs.join(right, docs["doc_id"] == right[internal("id")], "left")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(internal("copies")))).alias(internal("copy"))
+    one = F.coalesce(F.col(internal("copies")), F.lit(1).cast("long"))
+    return joined.withColumn(internal("copies"), one).where(F.col(internal("copies")) > 0).select(*(docs[c] for c in docs.columns), times).drop(internal("copy"))

@@ -22,25 +22,37 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators.components import connected_components
 
-from .common import shuffle_partitions, written
+from .common import internal, shuffle_partitions, written
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """64 bits; a bit is 1 if set in over half the XXH64 of the shingles. Blanks are the six ASCII ones, as bytes.split() has them."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words make one shingle, none make none. Blanks are the six ASCII ones, as bytes.split() has them."""
     w = text.lower().split()
     if not w:
-        return 0
-    joined = b" ".join(w)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     size = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size)[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist()
-    ones, digest, step = np.zeros(64, np.int64), xxhash.xxh64_intdigest, 1 << 14
-    for k in range(0, len(starts), step):
-        h = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[k : k + step], ends[k : k + step])), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The words of 64 bits in which a bit is 1 if set in over half the rows of `hashes`."""
+    hashes = hashes.reshape(len(hashes), -1)
+    ones, step = np.zeros(64 * hashes.shape[1], np.int64), 1 << 13
+    for k in range(0, len(hashes), step):
+        part = np.ascontiguousarray(hashes[k : k + step])
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """64 bits; a bit is 1 if set in over half the XXH64 of the shingles; zero without words."""
+    h = shingle_hashes(text, words, seed)
+    return int(majority(h)[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -167,3 +179,164 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """512 bits from shingle hashes; the first word is the 64-bit fingerprint."""
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(0, WIDE, 4):
+        x = h[:, None] * _MIX[None, k : k + 4]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        if k == 0:
+            x[:, 0] = h
+        out[k : k + 4] = majority(x)
+    return out
+
+
+def segment_keys(h: np.ndarray, mean: int = 16, keep: int = 8) -> np.ndarray:
+    """At most `keep` keys of content-defined segments, those with the smallest keys.
+
+    A segment begins at a shingle whose hash is divisible by `mean`, so a change in the text moves no boundary but those around it. Its key
+    is a mixed sum of the hashes of its shingles.
+    """
+    at = np.flatnonzero(h % np.uint64(mean) == 0)
+    at = np.r_[0, at[at > 0]].astype(np.int64)
+    x = h * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    keys = np.add.reduceat(x * np.uint64(0xC2B2AE3D27D4EB4F), at)
+    keys ^= keys >> np.uint64(29)
+    keys = np.unique(keys)
+    return keys[:keep]
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
+    """The expected differing bits of two equally large shingle sets of that Jaccard similarity."""
+    return int(round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + round(bits**0.5 / 5)
+
+
+def _sketches(words: int, keep: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, keys, first = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), words)
+                fp = wide_fingerprint(h) if len(h) else np.zeros(WIDE, np.uint64)
+                fps.append(fp.tobytes())
+                first.append(int(fp[:1].view(np.int64)[0]))
+                keys.append(segment_keys(h, keep=keep).view(np.int64).tolist() if len(h) else [0])
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(first, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "wide", "fp", "segs"])
+
+    return run
+
+
+def _near(wide: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Positions i, j of actual links that span the components under links within the radius; rows of `wide` are fingerprints."""
+    rest, out = np.arange(len(wide)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            near = np.bitwise_count(wide[rest] ^ wide[i]).sum(axis=1) <= radius
+            if near.any():
+                found = rest[near]
+                out += [(int(j), int(i)) for j in found]
+                queue += list(found)
+                rest = rest[~near]
+    return out
+
+
+_WIDE_FOUND = "kind int, a long, b long, k long, wide binary"
+
+
+def _scan_wide(radius: int, block: int):
+    """Over rows k, node, wide sorted by k: kind 0 links a-b; kind 1 a node a with its fingerprint in block b of a bucket k above one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, fps, part, out = None, [], [], 0, []
+
+        def flush(more: bool) -> None:
+            nonlocal nodes, fps, part
+            if len(nodes) > 1 or nodes and (more or part):
+                wide = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE)
+                out.extend((0, nodes[i], nodes[j], key, None) for i, j in _near(wide, radius))
+                if more or part:
+                    out.extend((1, n, part, key, f) for n, f in zip(nodes, fps))
+            nodes, fps, part = [], [], part + 1 if more else 0
+
+        def found() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "a", "b", "k", "wide"])
+
+        for batch in batches:
+            for k, n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != key:
+                    flush(False)
+                    key = k
+                elif len(nodes) >= block:
+                    flush(True)
+                nodes.append(n)
+                fps.append(f.as_py())
+            if len(out) > 20_000:
+                yield found()
+                out.clear()
+        flush(False)
+        yield found()
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 8, block: int = 4096) -> DataFrame:
+    """doc_id, component_id over links of texts whose shingle sets have a Jaccard similarity of about `similarity` or more.
+
+    Similarity is read off 512-bit SimHash fingerprints (at 0.8 the bits differ by 78 on average, with a deviation of 8). Covering masks over
+    the first 64 bits give all pairs within `radius` there. Texts at 0.8 differ in some ten of these bits, beyond any affordable family of masks, so
+    texts that share one of a few content-defined segments are compared too: near copies keep most of their segments. Both kinds of
+    buckets yield spanning links alone, over distinct fingerprints, and large buckets are split into pairs of blocks.
+
+    Nulls count as empty texts; texts without words are alike. Rows with null doc_id get component_id from the others of their group.
+    """
+    parts, limit = shuffle_partitions(docs.sparkSession), radius_of(similarity)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = written(rows.mapInArrow(_sketches(words, segments), "doc_id long, wide binary, fp long, segs array<long>").withColumn("node", F.xxhash64("wide")), "similar-sketch")
+    # copies merge here; texts with one wide fingerprint may differ in their segments, so all of these stay
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    keys = rows.select("node", "wide", F.explode("segs").alias("k")).groupBy("node", "k").agg(F.first("wide").alias("wide")).select("k", "node", "wide")
+    found = written(keys.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit, block), _WIDE_FOUND), "similar-links")
+    links = found.where("kind = 0").select("a", "b")
+    large = found.where("kind = 1").select("k", F.col("b").alias("part"), F.col("a").alias("node"), "wide")
+    if large.limit(1).count():
+        top = large.groupBy("k").agg(F.max("part").alias("top"))
+        paired = large.join(top, "k").select("k", "part", "node", "wide", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("other")).where("other <> part")
+
+        def both(t: pa.Table) -> pa.Table:
+            n = t.column("node").to_pylist()
+            found = _near(np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE), limit)
+            return pa.table({"a": pa.array([n[i] for i, _ in found], pa.int64()), "b": pa.array([n[j] for _, j in found], pa.int64())})
+
+        pairs = paired.groupBy("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        links = links.union(pairs.applyInArrow(both, "a long, b long"))
+
+    # links within the radius of the first 64 bits join fingerprints; each stands for its smallest node
+    narrow = rows.groupBy("fp").agg(F.min("node").alias("node"))
+    close = fingerprint_links(narrow, radius)
+    close = close.join(narrow.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(narrow.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = rows.select("fp", "node").distinct().join(narrow.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    comps = connected_components(links.union(close).union(same))
+    named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    label = named.join(smallest, "root").select(F.col("node").alias("label_node"), "component_id")
+    return rows.join(label, F.col("node") == F.col("label_node")).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of docs without those of a group of similar texts but its smallest doc_id. Rows with null doc_id stay."""
+    gone = similar_groups(docs, **kwargs).where("doc_id <> component_id").select(F.col("doc_id").alias(internal("gone"))).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[internal("gone")], "left_anti")

@@ -188,3 +188,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **kwarg
     model = train(docs, labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))), **kwargs)
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **kwargs) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; null and empty texts are kept. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))), **kwargs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.scorer()
+        for b in batches:
+            keep = [score((t.as_py() or "").encode()) < threshold for t in b.column(at)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
