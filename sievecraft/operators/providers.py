@@ -114,7 +114,9 @@ def caption_instruction(profile: dict, media: str = "image") -> str:
         parts.append("State only what is visible.")
     if profile.get("trigger"):
         parts.append(f"Use {profile['trigger']} for the recurring subject.")
-    return " ".join(parts + [s["caption_instruction"]] * bool(s.get("caption_instruction")))
+    if s.get("caption_instruction"):
+        parts.append(s["caption_instruction"])
+    return " ".join(parts)
 
 
 def retry_instruction(base: str, attempt: int) -> str:
