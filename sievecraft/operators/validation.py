@@ -154,8 +154,18 @@ def orphan_outputs(listing: DataFrame, items: DataFrame) -> DataFrame:
 def quarantine_moves(candidates: DataFrame, items: DataFrame, reason: str) -> DataFrame:
     """src, dst of the outputs of candidates (inactive or remapped items) that no active item claims."""
     claimed = items.where("active").select(F.explode(F.array("output_image_path", "caption_path")).alias("path"))
-    paths = candidates.select("item_id", F.explode(F.array("output_image_path", "caption_path")).alias("path")).where("path <> ''")
-    return paths.join(claimed, "path", "left_anti").select("item_id", F.col("path").alias("src"), F.concat(F.lit(f"quarantine/{reason}/"), "item_id", F.lit("/"), basename(F.col("path"))).alias("dst"))
+    folder = F.concat(F.lit(f"{reason}/"), "item_id", F.lit("-"), F.substring("source_hash", 1, 12), F.lit("-"), F.coalesce("profile_version", F.lit("None")))
+    paths = candidates.select("item_id", folder.alias("folder"), F.explode(F.array("output_image_path", "caption_path")).alias("path")).where("path <> ''")
+    return paths.join(claimed, "path", "left_anti").select("item_id", F.col("path").alias("src"), F.concat("folder", F.lit("/"), basename(F.col("path"))).alias("dst"))
+
+
+def duplicate_evidence(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """dst and evidence (JSON) of the record that each newly excluded exact duplicate leaves for review."""
+    paths = items.select(F.col("item_id").alias("p_id"), "source_relative_path", "source_path")
+    rows = decisions.where("action = 'exclude'").join(paths, F.col("item_id") == F.col("p_id"))
+    body = F.struct(F.lit("exact_duplicate").alias("reason"), F.col("source_hash").alias("sha256"), F.col("source_relative_path").alias("duplicate"), F.col("keeper_path").alias("kept"), "item_id", "keeper_id")
+    where = F.concat(F.lit("duplicates/exact/"), "item_id", F.lit("-"), F.substring("source_hash", 1, 12), F.lit("/duplicate.json"))
+    return rows.select(where.alias("dst"), F.to_json(body).alias("evidence"))
 
 
 def validate_dataset(items: DataFrame, listing: DataFrame, profile: dict) -> DataFrame:
