@@ -57,3 +57,10 @@ def context_window(start: Column, duration: Column, padding: float = 5.0, minimu
 
 def cache_signature(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), 1, 20)
+
+
+def audio_evidence(stem: Column, clip_offset: Column, has_original: Column) -> Column:
+    """Where a clip's words are looked for: on the original from its harvested start, else on the clip itself."""
+    start = harvested_start(stem)
+    on_original = has_original & start.isNotNull()
+    return F.struct(F.when(on_original, "original").otherwise("clip").alias("source"), F.when(on_original, start + clip_offset).otherwise(clip_offset).alias("start"))

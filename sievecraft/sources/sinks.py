@@ -82,3 +82,23 @@ def write_report(report: DataFrame, path: str) -> None:
     with open(temp, "w", encoding="utf-8") as f:
         f.write(row)
     os.replace(temp, path)
+
+
+def cached(requests: DataFrame, cache: DataFrame, schema_version: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Requests (signature and more) that the cache answers, and those it does not; entries of another schema version do not count."""
+    current = cache.where(F.col("schema_version") == schema_version).drop("schema_version")
+    return requests.join(current, "signature"), requests.join(current, "signature", "left_anti")
+
+
+def append_cache(results: DataFrame, path: str, schema_version: int = 2) -> None:
+    results.withColumn("schema_version", F.lit(schema_version)).write.mode("append").parquet(path)
+
+
+def harvest_source(manifest_text: str | None) -> str | None:
+    """The original video that a clip manifest names; a manifest that cannot be read raises ValueError."""
+    if manifest_text is None:
+        return None
+    try:
+        return str(json.loads(manifest_text).get("source_video") or "") or None
+    except (ValueError, AttributeError) as e:
+        raise ValueError("The clip manifest cannot be read") from e
