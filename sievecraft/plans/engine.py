@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -55,6 +55,15 @@ class CurationRun:
     crop_images: bool = False
     override_lines: list[str] = field(default_factory=list)
     now: str = ""
+    progress: Callable[[dict], None] | None = None
+
+    def _tell(self, step: str, **figures) -> None:
+        """Progress is for watching; what a listener raises does not stop a run."""
+        if self.progress:
+            try:
+                self.progress({"step": step} | figures)
+            except Exception:  # noqa: BLE001
+                pass
 
     def __post_init__(self) -> None:
         check_media(self.profile, "images")
@@ -210,6 +219,7 @@ class CurationRun:
         items, excluded = self._exclude_copies(store, items)
         items = written(items, "deduplicated")
 
+        self._tell("prepared", excluded=excluded, quarantined=quarantined)
         waiting = items.where("active and status = 'pending'").count()
         claimed = written(manifest.claim_next(items, max_items if max_items else max(waiting, 1)), "claimed")
         processed = claimed.count()
@@ -218,6 +228,7 @@ class CurationRun:
             items = manifest.apply_results(items, claimed.select("item_id", "attempts"))
             done = results.select([c for c in results.columns if c in items.columns])
             items = written(manifest.apply_results(items, done.withColumn("error", F.coalesce("error", F.lit("")))).withColumn("error", F.when(F.col("error") != "", F.col("error"))), "processed")
+        self._tell("processed", processed=processed, waiting=waiting - processed)
         self.items_store.commit(items)
         if new_revision is not None:
             self.meta_store.commit(self.spark.createDataFrame([("force_rebuild_revision", json.dumps(new_revision), self.now)], "key string, value string, updated_at string"))

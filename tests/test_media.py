@@ -243,3 +243,17 @@ def test_report_row(spark):
     row = QUERIES["dataset_report_row"](spark, "/root/testdata/sf0.001").first()
     assert row.assessment == "REVIEW_RECOMMENDED" and json.loads(row.warning_counts) and row.eligible <= row.active
     assert dataset_report
+
+
+def test_overlap_join_matches_nested_loops(spark):
+    import random
+
+    from sievecraft.operators.overlap import overlap_join
+
+    r = random.Random(6)
+    make = lambda n: [(i, i % 3, s, s + r.choice([0.0, 0.5, 3.0, 40.0, -1.0])) for i in range(n) for s in [float(r.randrange(-50, 200))]] + [(n, 0, None, 3.0)]
+    a, b = make(60), make(50)
+    kind = "id long, k long, start double, `end` double"
+    got = sorted((x.l_id, x.r_id) for x in overlap_join(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "k", 7.0).collect())
+    ok = lambda x: x[2] is not None and x[3] >= x[2]
+    assert got == sorted((x[0], y[0]) for x in a for y in b if ok(x) and ok(y) and x[1] == y[1] and x[3] >= y[2] and x[2] <= y[3])
