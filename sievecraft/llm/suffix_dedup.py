@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import broadcast_within, shuffle_partitions, written
 
 WIDTH, GRAM = 100, 32
 _CHUNK = 1 << 18
@@ -320,7 +320,7 @@ def _ordinals(docs: DataFrame) -> DataFrame:
     return rows.select((F.get(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("pid")) + rank).alias("ord"), "doc_id", "text") if offsets else rows.select(F.col("rid").alias("ord"), "doc_id", "text")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 10_000, batch_windows: int = 1 << 16, shard_windows: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, batch_windows: int = 1 << 16, shard_windows: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a width-byte string that also starts earlier: in a smaller doc_id, or before in the same document.
@@ -349,7 +349,7 @@ def _spans(spark, docs: DataFrame, width: int, gram: int, hot: int, batch_window
     windows = open_.agg(F.sum("n")).first()[0] or 0
     keys = found.where("kind = 2").select(F.col("key").alias("hot_key")).distinct()
     if keys.limit(1).count():
-        open_ = open_.join(keys, F.col("key") == F.col("hot_key"), "left").select("doc_id", "start", "n", "key", F.col("hot_key").isNotNull().alias("hot"))
+        open_ = open_.join(broadcast_within(keys, 100_000), F.col("key") == F.col("hot_key"), "left").select("doc_id", "start", "n", "key", F.col("hot_key").isNotNull().alias("hot"))
     else:
         open_ = open_.withColumn("hot", F.lit(False))
     text = docs.repartition(parts, "doc_id")  # one shuffle, used by both joins
