@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int
     nodes = connected_components(fingerprint_links(distinct, radius, block))
     named = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "doc_id")
     named = written(named, "simhash-roots")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")  # a scan, so that AQE may split the join
     label = named.join(smallest, "root").select(F.col("fp").alias("label_fp"), "component_id")
     joined = fps.join(label, F.col("fp") == F.col("label_fp"))
     return joined.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -331,7 +331,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     same = rows.select("fp", "node").distinct().join(narrow.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     comps = connected_components(links.union(close).union(same))
     named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")  # a scan, so that AQE may split the join
     label = named.join(smallest, "root").select(F.col("node").alias("label_node"), "component_id")
     return rows.join(label, F.col("node") == F.col("label_node")).select("doc_id", "component_id")
 
