@@ -217,8 +217,9 @@ def segment_keys(h: np.ndarray, mean: int = 16, keep: int = 8) -> np.ndarray:
 
 
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """The expected differing bits of two equally large shingle sets of that Jaccard similarity."""
-    return int(round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + round(bits**0.5 / 5)
+    """The expected differing bits of two equally large shingle sets of that Jaccard similarity, and one standard deviation more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
 
 
 def _sketches(words: int, keep: int):
