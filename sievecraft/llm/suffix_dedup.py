@@ -352,7 +352,7 @@ def _spans(spark, docs: DataFrame, width: int, gram: int, hot: int, batch_window
         open_ = open_.join(broadcast_within(keys, 100_000), F.col("key") == F.col("hot_key"), "left").select("doc_id", "start", "n", "key", F.col("hot_key").isNotNull().alias("hot"))
     else:
         open_ = open_.withColumn("hot", F.lit(False))
-    text = docs.repartition(parts, "doc_id")  # one shuffle, used by both joins
+    text = docs.where("doc_id is not null").repartition(parts, "doc_id")  # one shuffle for both joins: the filter, which drops nothing, makes their scans the same
     need = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("need"))
     segs = text.join(need, "doc_id").select("doc_id", "text", "need").mapInArrow(_fetch(width), "shard long, doc_id long, start long, seg binary")
     shards = max(parts, -(-windows // shard_windows))
