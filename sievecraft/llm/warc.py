@@ -121,7 +121,7 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_byt
     # which payload came first is found on digests alone; payloads are shuffled once, into their shard
     links = written(meta.where(F.col("page_id").isNotNull()).join(firsts, ["sha"], "inner").where("bytes = b and first is not null").select("page_id", "sha", "first").distinct(), "warc-links")
     keyed = rows.select("*", shard.alias("shard"))
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), len(cuts) + 1)
     links = links.select(F.col("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), shard.alias("shard"), "sha", "first", F.lit(0).alias("kind"))
     both = keyed.select("*", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(links)
     both = both.repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload")
