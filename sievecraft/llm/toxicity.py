@@ -64,7 +64,7 @@ class Model:
     bias: float = float(np.log(0.1 / 0.9))
     weights: dict[int, float] = field(default_factory=dict)
 
-    def scorer(self, memory: int = 400_000):
+    def scorer(self, memory: int = 100_000):
         """Text to score. Of each word, what it adds is remembered, for up to `memory` words at a time."""
         known: dict[bytes, tuple] = {}
         weights, bias, nothing = self.weights, self.bias, ()
