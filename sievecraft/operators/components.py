@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = written(edges, "cc")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = mark(edges)
+    files = max(16, -(-before[0] // 500_000))  # rounds do not add edges to speak of; many tiny files cost more than they hold
     for _ in range(max_rounds if before[0] else 0):
-        edges = written(_small_star(_large_star(edges)), "cc")
+        edges = written(_small_star(_large_star(edges)).coalesce(files), "cc")
         after = mark(edges)
         if after == before:
             break
