@@ -16,6 +16,8 @@ from .common import broadcast_within, internal, word_count, written
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Above this many sources, tables of one row per source are joined by sort-merge instead of a broadcast.
 MAX_BROADCAST_SOURCES = 100_000
+#: Files of the table of multipliers, one row per source, that each Newton step writes.
+_DUAL_FILES = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -56,7 +58,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         (F.col("target") >= cap * F.col("source_size")).alias("done"),
     )
     scales = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("scale"))
-    lam = written(_join_source(lam, scales), "mix-dual")
+    lam = written(_join_source(lam, scales).coalesce(_DUAL_FILES), "mix-dual")
     for _ in range(steps):
         if lam.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -76,7 +78,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         inside = newton.isNotNull() & ~F.isnan(newton) & (F.abs(newton - F.col("lam")) < 20) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
         near = F.abs(g - t) <= tolerance * F.greatest(t, F.lit(1.0))
         step = F.when(F.col("done") | near, F.col("lam")).when((F.col("dg") > 0) & (g > 0) & (t > 0) & inside, newton).otherwise(beside)
-        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual")
+        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale").coalesce(_DUAL_FILES), "mix-dual")
     return lam
 
 
