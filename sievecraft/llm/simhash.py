@@ -200,20 +200,43 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def segment_keys(h: np.ndarray, mean: int = 16, keep: int = 8) -> np.ndarray:
-    """At most `keep` keys of content-defined segments, those with the smallest keys.
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
-    A segment begins at a shingle whose hash is divisible by `mean`, so a change in the text moves no boundary but those around it. Its key
-    is a mixed sum of the hashes of its shingles.
+
+def frequent_shingles(rows: DataFrame, words: int, sample: int = 20_000, least: int = 4, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes and their counts in about `sample` of the texts, for at most `most` that `least` of these have.
+
+    They say which shingles come last in the order of prefix_keys(), which gives all pairs in any order: the counts bear on cost alone.
+    """
+    every = max(1, rows.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.zeros(0, np.uint64), *(shingle_set(t.as_py(), words) for t in b.column(0))]
+            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_keys(s: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, by their frequency and then their hash: of two sets of that Jaccard similarity both have one of these.
+
+    The sets then share at least `similarity` of the larger one's shingles, so no more than the rest can come before the first common one.
     """
-    at = np.flatnonzero(h % np.uint64(mean) == 0)
-    at = np.r_[0, at[at > 0]].astype(np.int64)
-    x = h * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    keys = np.add.reduceat(x * np.uint64(0xC2B2AE3D27D4EB4F), at)
-    keys ^= keys >> np.uint64(29)
-    keys = np.unique(keys)
-    return keys[:keep]
+    if not len(s):
+        return np.zeros(1, np.uint64)
+    h, n = frequent
+    seen = np.zeros(len(s), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+        seen = np.where(h[at] == s, n[at], 0)
+    return s[np.lexsort((s, seen))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
 
 
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
@@ -222,7 +245,7 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     return round(bits * share + (bits * share * (1 - share)) ** 0.5)
 
 
-def _sketches(words: int, keep: int):
+def _sketches(words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, keys, first = [], [], []
@@ -231,12 +254,32 @@ def _sketches(words: int, keep: int):
                 fp = wide_fingerprint(h) if len(h) else np.zeros(WIDE, np.uint64)
                 fps.append(fp.tobytes())
                 first.append(int(fp[:1].view(np.int64)[0]))
-                keys.append(segment_keys(h, keep=keep).view(np.int64).tolist() if len(h) else [0])
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(first, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "wide", "fp", "segs"])
+                keys.append(prefix_keys(np.unique(h), similarity, frequent).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(first, pa.int64()), lists], names=["doc_id", "wide", "fp", "keys"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows k, node sorted by both: those whose k has several nodes, without repeats."""
+    last, done = None, False  # the last row, and whether it was given out
+    for b in batches:
+        k, n = (np.asarray(b.column(i).to_numpy(), np.int64) for i in (0, 1))
+        if not len(k):
+            continue
+        if last is not None:
+            k, n = np.r_[last[0], k], np.r_[last[1], n]
+        new = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
+        k, n = k[new], n[new]
+        same = k[1:] == k[:-1]
+        out = np.r_[False, same] | np.r_[same, False]
+        out[0] &= not done
+        last, done = (k[-1], n[-1]), bool(out[-1]) or len(k) == 1 and done
+        yield pa.record_batch([pa.array(k[out]), pa.array(n[out])], names=["k", "node"])
+
+
 def _near(wide: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Positions i, j of actual links that span the components under links within the radius; rows of `wide` are fingerprints."""
     rest, out = np.arange(len(wide)), []
@@ -294,22 +337,25 @@ def _scan_wide(radius: int, block: int):
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 8, block: int = 4096) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, block: int = 4096) -> DataFrame:
     """doc_id, component_id over links of texts whose shingle sets have a Jaccard similarity of about `similarity` or more.
 
-    Similarity is read off 512-bit SimHash fingerprints (at 0.8 the bits differ by 78 on average, with a deviation of 8). Covering masks over
-    the first 64 bits give all pairs within `radius` there. Texts at 0.8 differ in some ten of these bits, beyond any affordable family of masks, so
-    texts that share one of a few content-defined segments are compared too: near copies keep most of their segments. Both kinds of
-    buckets yield spanning links alone, over distinct fingerprints, and large buckets are split into pairs of blocks.
+    Candidates come from prefix filtering: shingles have one order for all texts, rare ones first, and two sets of that similarity have a common
+    shingle among the first ones of both, so texts that share one of these are compared, whatever their length. Similarity is read off 512-bit SimHash
+    fingerprints (at 0.8 the bits differ by 78 on average, with a deviation of 8). Covering masks over the first 64 bits give all pairs
+    within `radius` there too. Both kinds of buckets yield spanning links alone, and large buckets are split into pairs of blocks.
 
     Nulls count as empty texts; texts without words are alike. Rows with null doc_id get component_id from the others of their group.
     """
     parts, limit = shuffle_partitions(docs.sparkSession), radius_of(similarity)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(_sketches(words, segments), "doc_id long, wide binary, fp long, segs array<long>").withColumn("node", F.xxhash64("wide")), "similar-sketch")
-    # copies merge here; texts with one wide fingerprint may differ in their segments, so all of these stay
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keys = rows.select("node", "wide", F.explode("segs").alias("k")).groupBy("node", "k").agg(F.first("wide").alias("wide")).select("k", "node", "wide")
+    sketches = _sketches(words, similarity, frequent_shingles(rows, words))
+    rows = written(rows.mapInArrow(sketches, "doc_id long, wide binary, fp long, keys array<long>").withColumn("node", F.xxhash64("wide")), "similar-sketch")
+    # copies merge here; texts with one wide fingerprint may differ in their shingles, so all of their keys stay
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"))
+    keys = rows.select(F.explode("keys").alias("k"), "node")
+    shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared")
+    keys = shared.join(nodes.select("node", "wide"), "node").select("k", "node", "wide")  # most keys have one text; fingerprints travel with the others alone
     found = written(keys.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit, block), _WIDE_FOUND), "similar-links")
     links = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select("k", F.col("b").alias("part"), F.col("a").alias("node"), "wide")

@@ -165,3 +165,54 @@ def test_drop_near_duplicates_keeps_columns(request, name):
     assert out.columns == docs.columns
     assert out.where("doc_id is null").count() == docs.where("doc_id is null").count()
     out.collect()
+
+
+def test_short_texts_meet_in_a_prefix(spark):
+    """Texts of 20 to 60 words, one of which is changed: every pair of similarity 0.8 or more has a common key, whatever shingles count as frequent."""
+    import random
+
+    r = random.Random(21)
+    for trial in range(2000):
+        w = [f"v{r.randrange(5000)}" for _ in range(r.randint(20, 60))]
+        v = list(w)
+        v[r.randrange(-4, 4)] = "changed"
+        if trial % 2:
+            v.insert(0, "more")
+        a, b = (" ".join(x) for x in (w, v))
+        x, y = (sh.shingle_set(t.encode(), 5) for t in (a, b))
+        some = np.unique(np.r_[x[::3], y[::2]])
+        frequent = (some, np.arange(len(some)) % 7)
+        if jaccard(a, b) >= 0.8:
+            assert np.intersect1d(*(sh.prefix_keys(s, 0.8, frequent) for s in (x, y))).size
+
+
+def test_shared_keys_across_batches():
+    import pyarrow as pa
+
+    rows = [(1, 1), (1, 1), (2, 5), (2, 6), (2, 7), (3, 1), (4, 1), (4, 2), (5, 9), (5, 9)]
+    want = [x for x in rows if len({n for k, n in rows if k == x[0]}) > 1]
+    for size in (1, 2, 3, 10):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=["k", "node"]) for i in range(0, len(rows), size)]
+        assert [(r["k"], r["node"]) for b in sh._shared(iter(batches)) for r in b.to_pylist()] == want
+
+
+def short_pairs(words=30, n=400, seed=5):
+    """Pairs of random texts of so many words, one word near an end changed; similarity by the place: 0.86 and more."""
+    import random
+
+    r = random.Random(seed)
+    for i in range(n):
+        w = [f"v{r.randrange(20_000)}" for _ in range(words)]
+        v = list(w)
+        v[r.choice((0, 1, -1, -2))] = f"c{i}"
+        yield i, " ".join(w), " ".join(v)
+
+
+@pytest.mark.parametrize("words", [20, 30, 50])
+def test_short_near_copies_are_grouped(spark, words):
+    pairs = list(short_pairs(words))
+    docs = spark.createDataFrame([(k, t) for i, a, b in pairs for k, t in ((i, a), (1000 + i, b))], "doc_id long, text string")
+    group = {x.doc_id: x.component_id for x in sh.similar_groups(docs).collect()}
+    close = [i for i, a, b in pairs if jaccard(a, b) >= 0.85]
+    assert len(close) > 150
+    assert [i for i in close if group[i] != group[1000 + i]] == []
