@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators.components import connected_components
 
-from .common import internal, shuffle_partitions, written
+from .common import ascii_lower, broadcast_within, internal, shuffle_partitions, written
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -239,25 +239,26 @@ def prefix_keys(s: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np
     return s[np.lexsort((s, seen))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
 
 
-def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """The expected differing bits of two equally large shingle sets of that Jaccard similarity, and one standard deviation more."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+#: Of 512 bits, what a pair of similarity 0.8 may differ in and still be compared by shingles. The mean there is 78, and 96 for sets of four and
+#: five shingles, the farthest; five deviations of 8.8 more. Wider than need be costs comparisons, no results.
+PRESELECT = 140
+
+
+def preselect(similarity: float) -> int:
+    """PRESELECT for 0.8 and more; below, the expected bits of two equally large sets and eight deviations more."""
+    share, bits = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * WIDE
+    return max(PRESELECT, round(bits * share + 8 * (bits * share * (1 - share)) ** 0.5))
 
 
 def _sketches(words: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys, first = [], [], []
-            for t in b.column(1):
-                h = shingle_hashes(t.as_py(), words)
-                fp = wide_fingerprint(h) if len(h) else np.zeros(WIDE, np.uint64)
-                fps.append(fp.tobytes())
-                first.append(int(fp[:1].view(np.int64)[0]))
-                keys.append(prefix_keys(np.unique(h), similarity, frequent).view(np.int64))
+            sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
+            fps = [(wide_fingerprint(s) if len(s) else np.zeros(WIDE, np.uint64)).tobytes() for s in sets]
+            keys = [prefix_keys(s, similarity, frequent).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(first, pa.int64()), lists], names=["doc_id", "wide", "fp", "keys"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "wide", "n", "keys"])
 
     return run
 
@@ -337,23 +338,85 @@ def _scan_wide(radius: int, block: int):
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, block: int = 4096) -> DataFrame:
-    """doc_id, component_id over links of texts whose shingle sets have a Jaccard similarity of about `similarity` or more.
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions i, j of pairs of that Jaccard similarity or more that span the components under all such pairs; empty sets are alike."""
+    size = np.array([max(1, len(s)) for s in sets], np.int64)
+    ids = np.unique(np.concatenate([s if len(s) else np.zeros(1, np.uint64) for s in sets]), return_inverse=True)[1].ravel()
+    starts = np.cumsum(size) - size
+    mark, rest, out = np.zeros(len(ids), bool), np.arange(len(sets)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            own = ids[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            fit = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-6]
+            common = np.array([np.count_nonzero(mark[ids[starts[j] : starts[j] + size[j]]]) for j in fit], np.int64)
+            mark[own] = False
+            found = fit[common / (size[fit] + size[i] - common) >= similarity]
+            if len(found):
+                out += [(int(j), int(i)) for j in found]
+                queue += list(found)
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+    return out
+
+
+def _confirm(words: int, similarity: float):
+    """Over rows g, node, text sorted by g: links a, b between the nodes of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            pairs = similar_sets(sets, similarity) if len(sets) > 1 else []
+            return pa.record_batch([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for g, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g != group:
+                    if len(sets) > 1:
+                        yield links()
+                    group, nodes, sets = g, [], []
+                if not nodes or n != nodes[-1]:
+                    nodes.append(n)
+                    sets.append(shingle_set(t.as_py(), words))
+        yield links()
+
+    return run
+
+
+def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = 4096, shingles: int = 2_000_000) -> DataFrame:
+    """Links a, b whose components are those of all pairs of that Jaccard similarity within the groups node, component.
+
+    Each text of a group is read once, and its shingles are compared with those of the whole group. A group of more than `block` texts
+    or `shingles` shingles is dealt into parts, and every pair of parts is compared.
+    """
+    spark, cut = rows.sparkSession, F.greatest(F.col("m") / block, F.col("s") / shingles)
+    groups = written(groups.join(sketches.select("node", "n"), "node"), "similar-candidates")
+    parts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("component", F.ceil(cut).cast("long").alias("parts"))
+    dealt = groups.join(parts, "component").select("component", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).alias("part"), "parts")
+    dealt = dealt.select("component", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)).alias("other"))
+    dealt = dealt.select("node", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("g"))
+    texts = rows.join(broadcast_within(dealt, 200_000), "node").select("g", "node", "text")
+    return texts.repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "node").mapInArrow(_confirm(words, similarity), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+    """doc_id, component_id over links of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     Candidates come from prefix filtering: shingles have one order for all texts, rare ones first, and two sets of that similarity have a common
-    shingle among the first ones of both, so texts that share one of these are compared, whatever their length. Similarity is read off 512-bit SimHash
-    fingerprints (at 0.8 the bits differ by 78 on average, with a deviation of 8). Covering masks over the first 64 bits give all pairs
-    within `radius` there too. Both kinds of buckets yield spanning links alone, and large buckets are split into pairs of blocks.
+    shingle among the first ones of both, so texts that share one of these are compared, whatever their length. 512-bit SimHash fingerprints
+    leave out pairs that are far apart (see PRESELECT). What is left forms candidate groups by spanning links alone, over distinct texts,
+    large buckets split into pairs of blocks. Within a candidate group the similarity of the sets themselves decides.
 
     Nulls count as empty texts; texts without words are alike. Rows with null doc_id get component_id from the others of their group.
     """
-    parts, limit = shuffle_partitions(docs.sparkSession), radius_of(similarity)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sketches = _sketches(words, similarity, frequent_shingles(rows, words))
-    rows = written(rows.mapInArrow(sketches, "doc_id long, wide binary, fp long, keys array<long>").withColumn("node", F.xxhash64("wide")), "similar-sketch")
-    # copies merge here; texts with one wide fingerprint may differ in their shingles, so all of their keys stay
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"))
-    keys = rows.select(F.explode("keys").alias("k"), "node")
+    parts, limit = shuffle_partitions(docs.sparkSession), preselect(similarity)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("node"), F.col("text").cast("binary").alias("text"))
+    sketch = _sketches(words, similarity, frequent_shingles(rows, words))
+    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch")
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))  # copies merge here
+    keys = sketched.select(F.explode("keys").alias("k"), "node")
     shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared")
     keys = shared.join(nodes.select("node", "wide"), "node").select("k", "node", "wide")  # most keys have one text; fingerprints travel with the others alone
     found = written(keys.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit, block), _WIDE_FOUND), "similar-links")
@@ -371,16 +434,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         pairs = paired.groupBy("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         links = links.union(pairs.applyInArrow(both, "a long, b long"))
 
-    # links within the radius of the first 64 bits join fingerprints; each stands for its smallest node
-    narrow = rows.groupBy("fp").agg(F.min("node").alias("node"))
-    close = fingerprint_links(narrow, radius)
-    close = close.join(narrow.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(narrow.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    same = rows.select("fp", "node").distinct().join(narrow.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    comps = connected_components(links.union(close).union(same))
+    groups = connected_components(links)
+    comps = connected_components(confirmed_links(rows, nodes, groups, words, similarity, block))
     named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots")
     smallest = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")  # a scan, so that AQE may split the join
     label = named.join(smallest, "root").select(F.col("node").alias("label_node"), "component_id")
-    return rows.join(label, F.col("node") == F.col("label_node")).select("doc_id", "component_id")
+    return sketched.join(label, F.col("node") == F.col("label_node")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **kwargs) -> DataFrame:

@@ -216,3 +216,37 @@ def test_short_near_copies_are_grouped(spark, words):
     close = [i for i, a, b in pairs if jaccard(a, b) >= 0.85]
     assert len(close) > 150
     assert [i for i in close if group[i] != group[1000 + i]] == []
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_groups_are_those_of_exact_similarity(spark, block):
+    """Texts around the limit, of 1 to 300 words: groups match a comparison of all pairs, on either side of it."""
+    import random
+
+    r = random.Random(33)
+    texts = [None, "", " \n", "one", "ONE", "two words", "a a a a a a a a a", "a a a a a a"]
+    for i in range(70):
+        w = [f"v{r.randrange(4000)}" for _ in range(r.choice((5, 12, 20, 30, 45, 80, 300)))]
+        texts.append(" ".join(w))
+        for _ in range(3):
+            w = list(w)
+            for _ in range(max(1, round(len(w) * r.choice((0.005, 0.02, 0.03))))):
+                w[r.randrange(len(w))] = r.choice(("x", f"v{r.randrange(4000)}"))
+            texts.append(" ".join(w).upper() if r.random() < 0.1 else " ".join(w))
+    sets = [set(sh.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in sh.similar_groups(docs, block=block).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 100 < len(set(got.values())) < len(texts) - 50
