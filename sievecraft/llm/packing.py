@@ -11,14 +11,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
 
-#: Lengths up to EXACT are candidate boundaries of their own; above, 256 candidates for each doubling bound the histogram's size.
+#: Up to so many different lengths, each is a candidate boundary and the boundaries are the true optimum.
+LENGTHS = 1 << 15
+#: With more of them, lengths up to EXACT are still candidates of their own; above, 256 cells for each doubling bound the histogram's
+#: size, and the largest length in a cell is its candidate.
 EXACT = 512
 
 
 def candidate(length: Column) -> Column:
-    """The smallest candidate boundary that is not below the length. At most 512 + 256 * 54 candidates exist for any long."""
+    """The upper end of the length's cell. At most 512 + 256 * 54 cells exist for any long."""
     unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)) - 0.5)).cast("int") - 8, F.lit(0)))
     return F.when(length <= EXACT, length).otherwise(F.ceil(length / unit).cast("long") * unit)
 
@@ -68,17 +71,22 @@ def optimal_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return sorted({int(tops[e]) for e in ends})
 
 
-def pack(lengths: DataFrame, buckets: int = 16, batch_tokens: int = 65_536, shard_rows: int = 2_048) -> DataFrame:
+def pack(lengths: DataFrame, buckets: int = 16, batch_tokens: int = 65_536, shard_rows: int = 2_048, most_lengths: int = LENGTHS) -> DataFrame:
     """From doc_id, n_tokens: doc_id, n_tokens, bucket, bucket_tokens, shard, batch, slot, padding; every row appears once.
 
     bucket_tokens: the bucket's boundary; a batch holds at most max(1, batch_tokens // bucket_tokens) documents, so its padded size
     exceeds the budget only for a document that does so alone. A large bucket is split into shards by a hash of doc_id, so that no task
     holds a whole bucket; each shard ends in at most one unfilled batch. batch numbers the batches of a shard from 0.
 
+    The boundaries are optimal; with more than most_lengths different lengths they are the best among the largest lengths of cells (see EXACT).
+
     Null lengths count as 0. Ties and repeated rows get slots of their own. An empty table gives an empty result.
     """
     lengths = lengths.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    hist = lengths.groupBy(candidate(F.col("n_tokens")).alias("top")).agg(F.count(F.lit(1)).alias("n")).orderBy("top").collect()
+    hist = written(lengths.groupBy(F.col("n_tokens").alias("top")).agg(F.count(F.lit(1)).alias("n")), "packing-lengths")
+    if hist.count() > most_lengths:
+        hist = hist.groupBy(candidate(F.col("top")).alias("cell")).agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+    hist = hist.select("top", "n").orderBy("top").collect()
     tops, counts = np.array([r.top for r in hist], np.int64), np.array([r.n for r in hist], np.int64)
     ends = optimal_boundaries(tops, counts, buckets)
     if not ends:

@@ -114,3 +114,14 @@ def test_candidates_cover_lengths(spark):
     df = spark.createDataFrame([(x,) for x in n], "n long")
     for r in df.select("n", packing.candidate(df["n"]).alias("c")).collect():
         assert r.n <= r.c <= max(512, r.n * (1 + 1 / 128))
+
+
+@pytest.mark.parametrize("most", [packing.LENGTHS, 2])
+def test_boundaries_are_actual_lengths(spark, most):
+    """Above 512 too: the least padding there is, and with cells no boundary above the longest document of its bucket."""
+    lengths = [3, 9, 700, 701, 1025, 1026, 1030, 5003, 5004, 9001, 20_000]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long")
+    rows = packing.pack(docs, buckets=4, most_lengths=most).collect()
+    assert {r.bucket_tokens for r in rows} <= set(lengths)
+    if most > len(lengths):
+        assert sum(r.bucket_tokens for r in rows) == best_cost(np.array(lengths), np.ones(len(lengths), np.int64), 4)
