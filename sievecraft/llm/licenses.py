@@ -7,6 +7,7 @@ spans, and a span that covers enough of a template gives the template's label.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,16 +141,16 @@ class LicenseScanner:
             by.setdefault(k, []).append((at, t, size))
         out = []
         for k, list_ in by.items():
-            need, chains = len(self.templates[k][1]), []
+            need, chains = len(self.templates[k][1]), []  # chains by their end
             for at, t, size in sorted(list_):
                 best = (size, at)
-                for c_at, c_end, c_t, c_size in reversed(chains[-64:]):
+                for c_end, c_at, c_t, c_size in chains[bisect_left(chains, (at - self.max_gap,)) :]:
                     step, hop = at - c_end, t - c_t
                     if -size < step <= self.max_gap and -size < hop <= self.max_gap:
                         best = max(best, (c_size + size + min(step, hop, 0), c_at))
-                chains.append((best[1], at + size, t + size, best[0]))
+                insort(chains, (at + size, best[1], t + size, best[0]))
             best_of: dict[int, tuple] = {}
-            for c_at, c_end, _, c_size in chains:
+            for c_end, c_at, _, c_size in chains:
                 best_of[c_at] = max(best_of.get(c_at, (0, 0)), (c_size, c_end))
             out += [(k, at, end, min(1.0, size / need)) for at, (size, end) in sorted(best_of.items()) if size >= self.min_cover * need]
         return out

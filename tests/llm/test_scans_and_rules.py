@@ -236,3 +236,12 @@ def test_toxicity_on_odd_rows(spark, request, name, labelled):
         assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
         out = tx.reject_toxic(docs, labels)
         assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_license_chains_over_phrases_with_many_places():
+    """A phrase with 100 places in its template: each match is 100 chains, and the whole text is still one span."""
+    template = " ".join(f"of this license q{i}" for i in range(100))
+    s = lic.LicenseScanner(templates=[("L", template)], phrases=[], min_cover=0.7)
+    got = s.scan(" ".join(["of this license x"] * 100).encode())
+    assert got["labels"] == "L" and got["score"] == 0.75
+    assert got["spans"][0]["first_word"] == 0 and got["spans"][0]["end_word"] == 399
