@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own only where it is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own only where it is unset and Spark runs in this machine alone, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='sievecraft-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -22,14 +26,51 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, tag)
+    for scope in _scopes:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths that written() makes inside the block, for remove_path once no later result reads them."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def path_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, sorted; none if it is not there."""
+    fs, where = _hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
