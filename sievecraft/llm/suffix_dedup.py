@@ -2,23 +2,28 @@
 
 Windows of `width` bytes are dealt into shards by content. A window belongs to its anchor, the leftmost of its k-grams with the smallest
 hash, so equal windows share anchor and shard; neighbouring windows with one anchor travel as one segment. Segments that are equal
-as a whole are settled by their hashes (128 bits): the first stays. Only anchors that also occur with other surroundings need their
-bytes: the first segment of each kind goes, in corpus order, through its shard's family of suffix arrays. There a new batch gets a
-suffix array of its window starts, is merge-scanned against the arrays of all levels for matches of full width, and enters as the smallest
-level; levels of equal size merge, so a shard of n windows has log n levels and each window is merged log n times.
+as a whole (128 bits of hash) are merged before they travel: the first stays for all. The segments left go, in corpus order, through their
+shard's family of suffix arrays. There a new batch gets a suffix array of its window starts, is merge-scanned against the arrays of all
+levels for common prefixes of full width, and enters as the smallest level; levels of equal size merge, so a shard of n windows has log n
+levels and each window is merged log n times.
+
+`SuffixIndex` keeps the levels of its shards in a folder, so batches can be added run after run. `repeated_spans` is the run over one whole
+table whose index is not kept afterwards: there, segments whose anchor has no other surroundings in the table cannot match anything and do
+not enter a family.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, shuffle_partitions, written
+from .common import broadcast_within, path_exists, path_names, remove_path, shuffle_partitions, written
 
 WIDTH, GRAM = 100, 32
 _CHUNK = 1 << 18
@@ -116,10 +121,44 @@ def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return doc[at], start[at], np.add.reduceat(n, at)
 
 
+class _Known:
+    """Classes of segments that a task has met twice, each with the first place sent on; a later copy need not travel.
+
+    At most `most` classes are remembered. A copy of a class that is not remembered travels, so the limit bears on cost alone.
+    """
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.most = most
+        self.tag, self.doc, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, key: np.ndarray, cls: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the segments come after a remembered one of their class."""
+        if not len(self.tag) or not len(key):
+            return np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.tag, _tag(key, cls)), len(self.tag) - 1)
+        same = (self.key[at] == key) & (self.cls[at] == cls)
+        return same & ((self.doc[at] < doc) | (self.doc[at] == doc) & (self.start[at] < start))
+
+    def remember(self, key: np.ndarray, cls: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        room = self.most - len(self.tag)
+        if room <= 0 or not len(key):
+            return
+        key, cls, doc, start = (x[:room] for x in (key, cls, doc, start))
+        cols = [np.r_[old, new] for old, new in zip((self.tag, self.key, self.cls, self.doc, self.start), (_tag(key, cls), key, cls, doc, start))]
+        order = np.lexsort((cols[4], cols[3], cols[0]))
+        self.tag, self.key, self.cls, self.doc, self.start = (c[order] for c in cols)
+
+
+def _tag(key: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return _join(key.view(np.uint64), cls.view(np.uint64))
+
+
 def _scan(width: int, gram: int):
     """Texts to rows key, cls, doc_id, pos. pos = start << 7 | windows; with 0 windows the row is a finding: cls windows from start on are repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for b in batches:
             rows = []
             for held in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), width):
@@ -131,23 +170,27 @@ def _scan(width: int, gram: int):
             if not rows:
                 continue
             key, cls, doc, start, n = (np.concatenate(x) for x in zip(*rows))
-            # of equal segments in this batch only the first goes on, so copies are merged before the shuffle
+            # of equal segments only the first of the batch goes on, and none that comes after one the task has sent: copies merge before the shuffle
             o = np.lexsort((start, doc, cls, key))
-            again = np.r_[False, (key[o][1:] == key[o][:-1]) & (cls[o][1:] == cls[o][:-1])]
-            d, s, c = _merged(doc[o][again], start[o][again], n[o][again].astype(np.int64))
-            o = o[~again]
+            key, cls, doc, start, n = (x[o] for x in (key, cls, doc, start, n))
+            again = np.r_[False, (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])]
+            late = again | known.later(key, cls, doc, start)
+            several = np.r_[again[1:], False] & ~late
+            known.remember(key[several], cls[several], doc[several], start[several])
+            d, s, c = _merged(doc[late], start[late], n[late].astype(np.int64))
+            key, cls, doc, start, n = (x[~late] for x in (key, cls, doc, start, n))
             spread = (d * 2654435761 + s * 40503) & 0x7FFFFFFFFFFFFFFF
-            cols = (np.r_[key[o], spread], np.r_[cls[o], c], np.r_[doc[o], d], np.r_[start[o] << 7 | n[o], s << 7])
+            cols = (np.r_[key, spread], np.r_[cls, c], np.r_[doc, d], np.r_[start << 7 | n, s << 7])
             yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["key", "cls", "doc_id", "pos"])
 
     return run
 
 
-def _settle(hot: int):
+def _settle(hot: int, every: bool = False):
     """Rows sorted by key, cls, doc_id, pos to findings and open segments: kind, doc_id, start, n, key.
 
-    kind 0: n windows from start on are repeats. kind 1: first segment of its class under an anchor with several classes. kind 2: the key of an anchor
-    with more than `hot` classes.
+    kind 0: n windows from start on are repeats. kind 1: first segment of its class, under an anchor with several classes or, with `every`, any.
+    kind 2: the key of an anchor with more than `hot` classes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +214,9 @@ def _settle(hot: int):
                     carried = np.where(group[at] == 0, seen, 0)
                     total = count + carried
                     ordinal = np.arange(len(k)) - np.repeat(at - carried, count)
-                    final = np.repeat(total >= 2, count)
+                    final = np.repeat((total >= 2) | every, count)
                     tail = np.repeat(np.arange(len(at)) == len(at) - 1, count)
-                    if pending is not None and group[0] == 0:
+                    if pending is not None and group[0] == 0 and not every:
                         out.append(tuple(np.array([x]) for x in (1, *pending)))
                         pending = None
                     elif pending is not None and nk[0]:
@@ -193,36 +236,83 @@ def _settle(hot: int):
     return run
 
 
+class Level(NamedTuple):
+    """Bytes, and the window starts in them sorted by the suffix cut at the width; of equal windows one."""
+
+    data: np.ndarray
+    order: np.ndarray
+
+
 class SuffixFamily:
-    """Suffix arrays of geometrically growing size over window starts, each suffix cut at `width` bytes."""
-
-    def __init__(self, width: int = WIDTH) -> None:
-        self.width, self.kind, self.levels = width, f"S{width}", []
-
-    def add(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the windows (rows of `width` bytes, in corpus order) equal an earlier one, in this batch or before it."""
-        s = np.ascontiguousarray(windows).view(self.kind).ravel()
-        array = np.argsort(s, kind="stable")  # ties keep corpus order
-        s = s[array]
-        first = np.r_[True, s[1:] != s[:-1]]
-        heads = s[first]
+    """Suffix arrays of geometrically growing size, largest first."""
+
+    def __init__(self, width: int = WIDTH, levels: list[Level] | None = None) -> None:
+        self.width, self.kind, self.levels = width, f"S{width}", sorted(levels or [], key=lambda x: -len(x.order))
+
+    def _windows(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(data, self.width)[starts]
+
+    def _sorted(self, rows: np.ndarray) -> np.ndarray:
+        """Stable order of the windows; of two sorted runs one after the other it is their merge."""
+        return np.argsort(np.ascontiguousarray(rows).view(self.kind).ravel(), kind="stable")
+
+    @staticmethod
+    def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of each pair of windows."""
+        differ = a != b
+        return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+    def _scan(self, level: Level, rows: np.ndarray) -> np.ndarray:
+        """Longest common prefix of each of the sorted windows with the level's windows that do not sort after it, by one merge scan.
+
+        A window equal to one of the level stands right behind it in the merge, so a prefix of full width cannot be missed.
+        """
+        old = self._windows(level.data, level.order)
+        order = self._sorted(np.concatenate([old, rows]))
+        before = np.maximum.accumulate(np.where(order < len(old), order, -1))[order >= len(old)]
+        out, some = np.zeros(len(rows), np.int64), before >= 0
+        out[some] = self._common(old[before[some]], rows[some])
+        return out
+
+    def _merge(self, a: Level, b: Level) -> Level:
+        order = self._sorted(np.concatenate([self._windows(a.data, a.order), self._windows(b.data, b.order)]))
+        return Level(np.concatenate([a.data, b.data]), np.concatenate([a.order, b.order + len(a.data)])[order])
+
+    def add(self, data: np.ndarray, starts: np.ndarray, insert: np.ndarray | None = None) -> np.ndarray:
+        """Which of the windows at `starts`, in corpus order, equal an earlier one, of this batch or of a level; those for insertion become a level."""
+        out = np.zeros(len(starts), bool)
+        if not len(starts):
+            return out
+        rows = self._windows(data, starts)
+        array = self._sorted(rows)  # the batch's suffix array; ties keep corpus order
+        rows = rows[array]
+        repeat = np.r_[False, self._common(rows[1:], rows[:-1]) >= self.width]
+        heads = np.flatnonzero(~repeat)
         found = np.zeros(len(heads), bool)
         for level in self.levels:
-            at = np.searchsorted(level, heads)
-            at[at == len(level)] = 0
-            found |= level[at] == heads
-        repeat = np.ones(len(s), bool)
-        repeat[first] = found
-        out = np.empty(len(s), bool)
+            found |= self._scan(level, rows[heads]) >= self.width
+        repeat[heads] = found
         out[array] = repeat
-        new = heads[~found]
-        while self.levels and len(self.levels[-1]) <= len(new):
-            new = np.sort(np.concatenate([self.levels.pop(), new]), kind="stable")  # two sorted runs: one merge
-        if len(new):
+        kept = array[heads[~found]]
+        if insert is not None:
+            kept = kept[np.maximum.reduceat(insert[array], heads)[~found]] if len(kept) else kept
+        if len(kept):
+            new = Level(data, starts[kept])
+            while self.levels and len(self.levels[-1].order) <= len(new.order):
+                new = self._merge(self.levels.pop(), new)
             self.levels.append(new)
         return out
 
 
+def _laid_out(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments' bytes, and of every window its start there, its segment and its place in the segment."""
+    size = np.array([len(x) for x in segs], np.int64)
+    n = size - width + 1
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    of = np.repeat(np.arange(len(segs)), n)
+    return np.frombuffer(b"".join(segs), np.uint8), (np.cumsum(size) - size)[of] + inner, of, inner
+
+
 def _search(width: int, batch_windows: int):
     """Segments in corpus order to findings doc_id, start, n; one family per task."""
 
@@ -230,14 +320,9 @@ def _search(width: int, batch_windows: int):
         family = SuffixFamily(width)
 
         def batch(doc: list, start: list, seg: list[bytes]) -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(seg), np.uint8)
-            size = np.array([len(x) for x in seg])
-            n = size - width + 1
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            windows = np.lib.stride_tricks.sliding_window_view(data, width)[np.repeat(np.cumsum(size) - size, n) + inner]
-            hit = family.add(windows)
-            d, s = np.repeat(np.array(doc, np.int64), n)[hit], (np.repeat(np.array(start, np.int64), n) + inner)[hit]
-            d, s, c = _merged(d, s, np.ones(len(d), np.int64))
+            data, at, of, inner = _laid_out(seg, width)
+            hit = family.add(data, at)
+            d, s, c = _merged(np.array(doc, np.int64)[of[hit]], np.array(start, np.int64)[of[hit]] + inner[hit], np.ones(hit.sum(), np.int64))
             return pa.record_batch([pa.array(d), pa.array(s), pa.array(c)], names=["doc_id", "start", "n"])
 
         doc, start, seg, held = [], [], [], 0
@@ -256,29 +341,34 @@ def _search(width: int, batch_windows: int):
     return run
 
 
-def _fetch(width: int):
-    """Text and its open segments to rows shard, doc_id, start, seg. A hot anchor's windows go one by one, each to a shard of its own content."""
+def _fetch(width: int, both: bool | None = None):
+    """Text and its open segments to rows shard, doc_id, start, seg. A hot anchor's windows go one by one, each to a shard of its own content.
+
+    With `both` given, rows also say whether their windows enter the shard and whether they were dealt one by one; if it is true, a hot anchor's
+    segment also goes, without entering, to the anchor's shard.
+    """
+    names = ["shard", "doc_id", "start", "seg", "enters", "single"][: 4 if both is None else 6]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+
+    def rows(out: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[k] for x in out], kinds[k]) for k in range(len(names))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for b in batches:
-            out = []
             for doc, text, need in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 t = text.as_py()
                 for x in need:
                     if x["hot"]:
                         for i in range(x["start"], x["start"] + x["n"]):
                             w = t[i : i + width]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), doc, i, w))
-                    else:
-                        out.append((x["key"], doc, x["start"], t[x["start"] : x["start"] + x["n"] + width - 1]))
-                if len(out) > 50_000:
-                    yield _rows(out)
-                    out = []
-            yield _rows(out)
-
-    def _rows(out: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "doc_id", "start", "seg"])
+                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), doc, i, w, True, True))
+                    if not x["hot"] or both:
+                        out.append((x["key"], doc, x["start"], t[x["start"] : x["start"] + x["n"] + width - 1], not x["hot"], False))
+                    if len(out) > 50_000:
+                        yield rows(out)
+                        out = []
+        yield rows(out)
 
     return run
 
@@ -307,56 +397,170 @@ def _strip(width: int):
 
 
 def _ordinals(docs: DataFrame) -> DataFrame:
-    """Unique numbers `ord` in order of doc_id (null first), for tables that repeat doc_ids."""
+    """Unique numbers `ord` in order of doc_id (null first) and text, for tables that repeat doc_ids; rows alike in both get them as they come."""
     parts = shuffle_partitions(docs.sparkSession)
-    rows = written(docs.withColumn("rid", F.monotonically_increasing_id()), "suffix-rows")
-    rows = written(rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "rid").withColumn("pid", F.spark_partition_id()), "suffix-sorted")
+    rows = docs.withColumn("sha", F.sha2("text", 256))
+    rows = written(rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "sha").withColumn("pid", F.spark_partition_id()), "suffix-sorted")
     counts = {r.pid: r.n for r in rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(p, 0)
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("doc_id").asc_nulls_first(), "rid"))
-    return rows.select((F.get(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("pid")) + rank).alias("ord"), "doc_id", "text") if offsets else rows.select(F.col("rid").alias("ord"), "doc_id", "text")
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("doc_id").asc_nulls_first(), "sha"))
+    offset = F.get(F.array(*(F.lit(x).cast("long") for x in offsets or [0])), F.col("pid"))
+    return written(rows.select((offset + rank).alias("ord"), "doc_id", "text"), "suffix-ordinals")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, batch_windows: int = 1 << 16, shard_windows: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, batch_windows: int = 1 << 18, shard_windows: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a width-byte string that also starts earlier: in a smaller doc_id, or before in the same document.
     Strings are judged on the input; n_spans counts the maximal removed runs. Null texts count as empty; texts under width bytes lose
-    nothing. Rows that share a doc_id are separate documents in the order in which they are read; null doc_ids come first. An empty table
-    gives an empty result. Other columns are ignored.
+    nothing; very long texts are read in pieces that share width-1 bytes. Rows that share a doc_id are separate documents in the order of
+    their SHA-256; null doc_ids come first. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    return _numbered(docs, lambda rows: _spans(rows, width, gram, hot, batch_windows, shard_windows))
+
+
+def _numbered(docs: DataFrame, spans) -> DataFrame:
+    """spans() of rows doc_id, text; where doc_ids repeat or are null, of rows numbered in their order."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if odd:
-        numbered = _ordinals(docs)
-        names = numbered.select(F.col("ord"), F.col("doc_id").alias("own_id"))
-        out = _spans(spark, numbered.select(F.col("ord").alias("doc_id"), "text"), width, gram, hot, batch_windows, shard_windows)
-        return out.join(names, F.col("doc_id") == F.col("ord")).select(F.col("own_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return _spans(spark, docs, width, gram, hot, batch_windows, shard_windows)
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        return spans(docs)
+    numbered = _ordinals(docs)
+    names = numbered.select(F.col("ord"), F.col("doc_id").alias("own_id"))
+    out = spans(numbered.select(F.col("ord").alias("doc_id"), "text"))
+    return out.join(names, F.col("doc_id") == F.col("ord")).select(F.col("own_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _spans(spark, docs: DataFrame, width: int, gram: int, hot: int, batch_windows: int, shard_windows: int) -> DataFrame:
-    parts = shuffle_partitions(spark)
+def _stripped(text: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    lists = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    return text.join(lists, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_strip(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _settled(docs: DataFrame, width: int, gram: int, hot: int, every: bool) -> DataFrame:
     runs = docs.mapInArrow(_scan(width, gram), "key long, cls long, doc_id long, pos long")
-    found = runs.repartition(parts, "key").sortWithinPartitions("key", "cls", "doc_id", "pos").mapInArrow(_settle(hot), "kind int, doc_id long, start long, n long, key long")
-    found = written(found, "suffix-found")
+    found = runs.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "cls", "doc_id", "pos")
+    return written(found.mapInArrow(_settle(hot, every), "kind int, doc_id long, start long, n long, key long"), "suffix-found")
+
+
+def _with_hot(open_: DataFrame, keys: DataFrame) -> DataFrame:
+    """open_ with `hot`: whether the key is one of keys.hot_key."""
+    if not keys.limit(1).count():
+        return open_.withColumn("hot", F.lit(False))
+    return open_.join(broadcast_within(keys, 100_000), F.col("key") == F.col("hot_key"), "left").select(*open_.columns, F.col("hot_key").isNotNull().alias("hot"))
 
+
+def _needs(open_: DataFrame) -> DataFrame:
+    return open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("need"))
+
+
+def _spans(docs: DataFrame, width: int, gram: int, hot: int, batch_windows: int, shard_windows: int) -> DataFrame:
+    parts = shuffle_partitions(docs.sparkSession)
+    found = _settled(docs, width, gram, hot, every=False)
     open_ = found.where("kind = 1").select("doc_id", "start", "n", "key")
     windows = open_.agg(F.sum("n")).first()[0] or 0
-    keys = found.where("kind = 2").select(F.col("key").alias("hot_key")).distinct()
-    if keys.limit(1).count():
-        open_ = open_.join(broadcast_within(keys, 100_000), F.col("key") == F.col("hot_key"), "left").select("doc_id", "start", "n", "key", F.col("hot_key").isNotNull().alias("hot"))
-    else:
-        open_ = open_.withColumn("hot", F.lit(False))
+    open_ = _with_hot(open_, found.where("kind = 2").select(F.col("key").alias("hot_key")).distinct())
     text = docs.where("doc_id is not null").repartition(parts, "doc_id")  # one shuffle for both joins: the filter, which drops nothing, makes their scans the same
-    need = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("need"))
-    segs = text.join(need, "doc_id").select("doc_id", "text", "need").mapInArrow(_fetch(width), "shard long, doc_id long, start long, seg binary")
+    segs = text.join(_needs(open_), "doc_id").select("doc_id", "text", "need").mapInArrow(_fetch(width), "shard long, doc_id long, start long, seg binary")
     shards = max(parts, -(-windows // shard_windows))
     repeats = segs.repartition(shards, "shard").sortWithinPartitions("doc_id", "start").select("doc_id", "start", "seg").mapInArrow(_search(width, batch_windows), "doc_id long, start long, n long")
-    every = found.where("kind = 0").select("doc_id", "start", "n").union(repeats)
-    lists = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    return text.join(lists, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_strip(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _stripped(text, found.where("kind = 0").select("doc_id", "start", "n").union(repeats), width)
+
+
+_KEPT = "shard long, level string, data binary, starts binary"
+_ADDED = "kind int, doc_id long, start long, n long, shard long, level string, data binary, starts binary"
+
+
+class SuffixIndex:
+    """Families of suffix arrays in a folder that outlives the run. Each added batch is compared with itself and with all batches before it.
+
+    Folder: `levels-G`, the levels written by generation G; `live-G`, which levels of any generation each shard has; `hot-G`, anchors with more than
+    `hot` kinds of surroundings in one batch. A generation counts once its `live-G`, which is written last, is complete, so a batch that breaks off
+    leaves the index as it was. Levels that no shard has any more go with their generation's table.
+
+    An anchor's windows live in the shard of its hash. From the batch on in which it is hot, new windows are dealt one by one, by their own
+    content, to a second set of shards; they are then also looked up, without entering, where the older ones are.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, shards: int = 1_024) -> None:
+        self.spark, self.folder, self.width, self.gram, self.hot, self.shards = spark, folder.rstrip("/"), width, gram, hot, shards
+
+    def generation(self) -> int:
+        done = [int(n.removeprefix("live-")) for n in path_names(self.spark, self.folder) if n.startswith("live-") and path_exists(self.spark, f"{self.folder}/{n}/_SUCCESS")]
+        return max(done, default=0)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def levels(self) -> DataFrame:
+        """shard, level, data, starts of every live level."""
+        now = self.generation()
+        if not now:
+            return self.spark.createDataFrame([], _KEPT)
+        live = self._table(f"live-{now}", "shard long, level string").withColumnRenamed("shard", "s")
+        tables = [self._table(n, _KEPT) for n in path_names(self.spark, self.folder) if n.startswith("levels-") and int(n.removeprefix("levels-")) <= now]
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.union(t)
+        return rows.join(live, (F.col("s") == F.col("shard")) & (live["level"] == rows["level"]), "left_semi")
+
+    def add_batch(self, docs: DataFrame) -> DataFrame:
+        """Adds the documents; returns one row for each, as repeated_spans does. Documents of earlier batches come before all of this one.
+
+        Repeated and null doc_ids are told apart within the batch, as there; across batches doc_ids are not compared. An empty batch adds nothing.
+        """
+        return _numbered(docs, self._add)
+
+    def _add(self, docs: DataFrame) -> DataFrame:
+        spark, now, parts, width = self.spark, self.generation() + 1, shuffle_partitions(self.spark), self.width
+        for name in (f"levels-{now}", f"hot-{now}", f"live-{now}"):
+            remove_path(spark, f"{self.folder}/{name}")  # what a batch that broke off left
+        found = _settled(docs, width, self.gram, self.hot, every=True)
+        hot = found.where("kind = 2").select(F.col("key").alias("hot_key"))
+        if now > 1:
+            hot = hot.union(self._table(f"hot-{now - 1}", "hot_key long"))
+        hot.distinct().write.parquet(f"{self.folder}/hot-{now}")
+        open_ = _with_hot(found.where("kind = 1").select("doc_id", "start", "n", "key"), self._table(f"hot-{now}", "hot_key long"))
+        text = docs.where("doc_id is not null").repartition(parts, "doc_id")
+        segs = text.join(_needs(open_), "doc_id").select("doc_id", "text", "need").mapInArrow(_fetch(width, both=now > 1), "shard long, doc_id long, start long, seg binary, enters boolean, single boolean")
+        segs = segs.withColumn("shard", 2 * F.pmod(F.xxhash64("shard"), F.lit(self.shards)) + F.col("single").cast("long")).drop("single")
+        added = segs.groupBy("shard").cogroup(self.levels().groupBy("shard")).applyInArrow(_add_to_shard(width, now), _ADDED)
+        added = written(added, "suffix-added")
+        added.where("kind = 1 and data is not null").select("shard", "level", "data", "starts").write.parquet(f"{self.folder}/levels-{now}")
+        added.where("kind = 1").select("shard", "level").write.parquet(f"{self.folder}/live-{now}")
+        self._forget(now)
+        every = found.where("kind = 0").select("doc_id", "start", "n").union(added.where("kind = 0").select("doc_id", "start", "n"))
+        return _stripped(text, every, width)
+
+    def _forget(self, now: int) -> None:
+        """Deletes the tables of generations none of whose levels is live; at most one short name per generation reaches the driver."""
+        used = {r[0] for r in self._table(f"live-{now}", "shard long, level string").select(F.substring_index("level", "-", 1)).distinct().collect()}
+        for name in path_names(self.spark, self.folder):
+            kind, _, g = name.partition("-")
+            if kind == "levels" and int(g) < now and g not in used or kind in ("live", "hot") and int(g) < now:
+                remove_path(self.spark, f"{self.folder}/{name}")
+
+
+def _add_to_shard(width: int, now: int):
+    """A shard's new segments and its levels to findings (kind 0) and the shard's levels (kind 1; old ones without their bytes)."""
+
+    def run(segs: pa.Table, kept: pa.Table) -> pa.Table:
+        old = {name: Level(np.frombuffer(d, np.uint8), np.frombuffer(s, np.int64)) for name, d, s in zip(*(kept.column(c).to_pylist() for c in ("level", "data", "starts")))}
+        names = {id(level.order): name for name, level in old.items()}
+        family = SuffixFamily(width, list(old.values()))
+        shard = (segs if segs.num_rows else kept).column("shard")[0].as_py()
+        out = []
+        if segs.num_rows:
+            segs = segs.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+            doc, start = (np.asarray(segs.column(c).to_numpy(), np.int64) for c in ("doc_id", "start"))
+            data, at, of, inner = _laid_out(segs.column("seg").to_pylist(), width)
+            hit = family.add(data, at, np.array(segs.column("enters").to_pylist(), bool)[of])
+            out = [(0, d, s, n, None, None, None, None) for d, s, n in zip(*(x.tolist() for x in _merged(doc[of[hit]], start[of[hit]] + inner[hit], np.ones(hit.sum(), np.int64))))]
+        for i, level in enumerate(family.levels):
+            name = names.get(id(level.order))
+            out.append((1, None, None, None, shard, name or f"{now}-{shard}-{i}", None if name else level.data.tobytes(), None if name else level.order.astype(np.int64).tobytes()))
+        kinds = (pa.int32(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["kind", "doc_id", "start", "n", "shard", "level", "data", "starts"])
+
+    return run

@@ -108,15 +108,46 @@ def test_texts_above_a_chunk(spark):
 
 def test_family_levels_grow_geometrically():
     rng = np.random.default_rng(1)
-    data = rng.integers(0, 3, (4000, 6), dtype=np.uint8)
     family, seen = sd.SuffixFamily(6), set()
-    for k in range(0, 4000, 100):
-        hit = family.add(data[k : k + 100])
-        for row, h in zip(data[k : k + 100], hit):
-            assert h == (row.tobytes() in seen)
-            seen.add(row.tobytes())
-        sizes = [len(x) for x in family.levels]
+    for _ in range(40):
+        data = rng.integers(0, 3, 105, dtype=np.uint8)
+        hit = family.add(data, np.arange(100))
+        for i, h in enumerate(hit):
+            w = data[i : i + 6].tobytes()
+            assert h == (w in seen)
+            seen.add(w)
+        sizes = [len(x.order) for x in family.levels]
         assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(seen) and len(sizes) <= 2 + np.log2(len(seen))
+    for level in family.levels:
+        suffixes = [level.data[i : i + 6].tobytes() for i in level.order]
+        assert suffixes == sorted(set(suffixes))
+
+
+def test_merge_scan_gives_common_prefixes():
+    data = np.frombuffer(b"abcdefabcxyzabcdzz", np.uint8)
+    family = sd.SuffixFamily(6)
+    family.add(data, np.arange(13))
+    rows = np.frombuffer(b"abcdeg" b"abcxyz" b"zzzzzz", np.uint8).reshape(3, 6)
+    assert family._scan(family.levels[0], rows).tolist() == [5, 6, 2 if data[10:].tobytes().startswith(b"zz") else 1]
+
+
+@pytest.mark.parametrize("hot", [2, 1_000])
+def test_batches_added_to_stored_levels_give_the_result_of_one_run(spark, prose, tmp_path, hot):
+    r = random.Random(7)
+    part = "".join(r.choice("abcd ") for _ in range(300))
+    rows = [(x.doc_id, x.text) for x in prose.select("doc_id", "text").limit(80).collect()]
+    rows += [(1000 + i, part[k : k + 110 + i] + "".join(r.choice("xyz") for _ in range(i)) + part[: 70 + i]) for i, k in enumerate(range(0, 300, 5))]
+    rows = sorted(rows) + [(5000, None), (5001, rows[0][1])]
+    schema, folder = "doc_id long, text string", f"file://{tmp_path}/index"
+    got, cuts = [], [0, 50, 90, 120, 120, len(rows)]
+    for a, b in zip(cuts, cuts[1:]):  # each batch opens the folder anew; one batch is empty
+        index = sd.SuffixIndex(spark, folder, hot=hot, shards=5)
+        got += [tuple(x) for x in index.add_batch(spark.createDataFrame(rows[a:b], schema)).collect()]
+    assert sorted(got, key=str) == brute_spans(rows, 100)
+    sizes = {}
+    for x in sd.SuffixIndex(spark, folder, hot=hot, shards=5).levels().collect():
+        sizes.setdefault(x.shard, []).append(len(x.starts) // 8)
+    assert 1 < len(sizes) <= 10 and all(len(v) <= 4 for v in sizes.values())
 
 
 # --- licences ---
