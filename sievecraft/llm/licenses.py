@@ -2,12 +2,13 @@
 
 The automaton holds every token substring of every template. A text is streamed through it word by word; the length of the longest template
 substring that ends at a word is its matching statistic. Maximal matches are chained along text and template, across small gaps, into
-spans, and a span that covers enough of a template gives the template's label.
+spans, and a span that covers enough of a template gives the template's label. Work and memory grow with the text in proportion: a chain
+is kept only while a match can still follow it within the gap.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,17 @@ from pyspark.sql import functions as F
 # Phrases whose places are counted, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Notices and opening passages of well-known licences.
+# The wording of well-known licences and of their notices.
+_AS_IS_MIT = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_AS_IS_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", f"{_BSD_2} {_AS_IS_BSD}"),
+    ("bsd-3-clause", f"{_BSD_2} {_BSD_3} {_AS_IS_BSD}"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
@@ -32,9 +39,11 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit", f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS_MIT}"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("reserved", "All rights reserved"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
 #: A-Z to lower case; other ASCII but digits and lower-case letters to blanks.
@@ -119,54 +128,71 @@ class LicenseScanner:
             self.automaton.add([self.ids[w] for w in t])
         self.automaton.finish()
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(template, text start, template start, length) of the maximal matches of min_match words or more. Only runs of words that some template has are streamed; no match crosses another word."""
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, text start, template start, length) of the maximal matches of min_match words or more, by their end in the text.
+
+        Only runs of words that some template has are streamed; no match crosses another word.
+        """
         get = self.ids.get
         ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False].astype(np.int8)))
-        found = []
         for a, b in zip(known[::2].tolist(), known[1::2].tolist()):
             if b - a < self.min_match:
                 continue
-            run = list(self.automaton.statistics(ids[a:b].tolist()))
-            for i, (s, size) in enumerate(run):
-                if size >= self.min_match and (i + 1 == len(run) or run[i + 1][1] <= size):  # not part of a longer one
-                    found += [(k, a + i + 1 - size, e - size, size) for k, ends in self.automaton.ends[s].items() for e in ends]
-        return found
+            state = size = 0
+            for i, (s, n) in enumerate(self.automaton.statistics(ids[a:b].tolist()), a):
+                if size >= self.min_match and n <= size:  # the match that ended before this word is not part of a longer one
+                    yield from self._places(state, i, size)
+                state, size = s, n
+            if size >= self.min_match:
+                yield from self._places(state, b, size)
+
+    def _places(self, state: int, end: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+        for k, ends in self.automaton.ends[state].items():
+            for e in ends:
+                yield k, end - size, e - size, size
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, share of the template covered) of the best chain at each place where the share is min_cover or more."""
-        by: dict[int, list] = {}
+        """(template, first word, end, share of the template covered) of the best chain at each place where the share is min_cover or more.
+
+        A match follows a chain if it ends later, and begins at most max_gap words after the chain's end, in the text and in the template.
+        Of the chains it can follow it takes the one that covers most, of these the one that begins last.
+        """
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: end, begin, template end, words covered
+        best: dict[tuple[int, int], tuple[int, int]] = {}  # by template and begin: words covered, end
         for k, at, t, size in self.matches(words):
-            by.setdefault(k, []).append((at, t, size))
-        out = []
-        for k, list_ in by.items():
-            need, chains = len(self.templates[k][1]), []  # chains by their end
-            for at, t, size in sorted(list_):
-                best = (size, at)
-                for c_end, c_at, c_t, c_size in chains[bisect_left(chains, (at - self.max_gap,)) :]:
-                    step, hop = at - c_end, t - c_t
-                    if -size < step <= self.max_gap and -size < hop <= self.max_gap:
-                        best = max(best, (c_size + size + min(step, hop, 0), c_at))
-                insort(chains, (at + size, best[1], t + size, best[0]))
-            best_of: dict[int, tuple] = {}
-            for c_end, c_at, _, c_size in chains:
-                best_of[c_at] = max(best_of.get(c_at, (0, 0)), (c_size, c_end))
-            out += [(k, at, end, min(1.0, size / need)) for at, (size, end) in sorted(best_of.items()) if size >= self.min_cover * need]
-        return out
+            open_ = chains.setdefault(k, [])
+            if open_ and open_[0][0] < at - self.max_gap:  # later matches begin no earlier, so nothing can follow these chains any more
+                chains[k] = open_ = [c for c in open_ if c[0] >= at - self.max_gap]
+            cover, begin = size, at
+            for c_end, c_begin, c_t, c_size in open_:
+                step, hop = at - c_end, t - c_t
+                if -size < step <= self.max_gap and -size < hop <= self.max_gap:
+                    cover, begin = max((cover, begin), (c_size + size + min(step, hop, 0), c_begin))
+            open_.append((at + size, begin, t + size, cover))
+            best[k, begin] = max(best.get((k, begin), (0, 0)), (cover, at + size))
+        sizes = [len(t) for _, t in self.templates]
+        return [(k, begin, end, min(1.0, cover / sizes[k])) for (k, begin), (cover, end) in sorted(best.items()) if cover >= self.min_cover * sizes[k]]
+
+    def places(self, words: list[bytes]) -> Iterator[tuple[int, str]]:
+        """The words at which phrases stand, with their labels; the words between two places are counted once."""
+        joined = b" " + b" ".join(words) + b" "
+        for phrase, label in self.phrases:
+            word = last = 0
+            for m in re.finditer(b"(?=" + re.escape(phrase) + b")", joined):
+                word += joined.count(b" ", last, m.start())
+                last = m.start()
+                yield word, label
 
     def scan(self, text: bytes | None) -> dict:
         words = words_of(text or b"")
-        joined, places, base = b" " + b" ".join(words) + b" ", [], set()
-        for phrase, label in self.phrases:
-            at = joined.find(phrase)
-            while at >= 0:
-                places.append(joined.count(b" ", 0, at))
-                base.add(label)
-                at = joined.find(phrase, at + 1)
+        n, first, last, base = 0, None, None, set()
+        for at, label in self.places(words):
+            n, first, last = n + 1, at if first is None else min(first, at), at if last is None else max(last, at)
+            base.add(label)
         spans = self.spans(words)
         return {
-            "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
+            "n_words": len(words), "n_base": n, "first_word": first, "last_word": last,
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {self.templates[k][0] for k, *_ in spans})),
             "score": max((s for *_, s in spans), default=0.0),
             "spans": [{"label": self.templates[k][0], "first_word": a, "end_word": e, "cover": s} for k, a, e, s in spans],
@@ -180,7 +206,8 @@ def scan_licenses(docs: DataFrame, **kwargs) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     score is the largest share of a template that a span covers, 0 without one. Null texts count as empty: no words, no labels (empty
-    strings), null places. Repeated rows are scanned each. An empty table gives an empty result. Other columns are ignored.
+    strings), null places. Very long texts are scanned whole, in time in proportion to their words. Null doc_ids are carried. Repeated rows
+    are scanned each. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("cover", pa.float64())]))]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -210,6 +210,70 @@ def test_matching_statistics():
             assert got == {(k, e) for k, x in enumerate(seqs) for e in range(size, 31) if x[e - size : e] == sub}
 
 
+def brute_labels(text, templates, min_match, max_gap, min_cover):
+    """All chains of all maximal matches, by comparing every match with every earlier one."""
+    parts = [(label, t.split()) for label, t in templates]
+    w = text.split()
+    holds = lambda sub: [(k, e) for k, (_, t) in enumerate(parts) for e in range(len(sub), len(t) + 1) if t[e - len(sub) : e] == sub]
+    size = [max(n for n in range(i + 1) if n == 0 or holds(w[i - n : i])) for i in range(len(w) + 1)]
+    found = []
+    for i in range(1, len(w) + 1):
+        if size[i] >= min_match and (i == len(w) or size[i + 1] <= size[i]):
+            found += [(k, i - size[i], e - size[i], size[i]) for k, e in holds(w[i - size[i] : i])]
+    chain, out = [], {}
+    for j, (k, at, t, n) in enumerate(found):
+        best = (n, at)
+        for (k2, at2, t2, n2), (cover, begin) in zip(found[:j], chain):
+            step, hop = at - at2 - n2, t - t2 - n2
+            if k2 == k and -n < step <= max_gap and -n < hop <= max_gap:
+                best = max(best, (cover + n + min(step, hop, 0), begin))
+        chain.append(best)
+        out[k, best[1]] = max(out.get((k, best[1]), (0, 0)), (best[0], at + n))
+    return sorted((parts[k][0], at, end, min(1.0, c / len(parts[k][1]))) for (k, at), (c, end) in out.items() if c >= min_cover * len(parts[k][1]))
+
+
+def test_chains_and_labels_match_brute_force():
+    r = random.Random(6)
+    labelled = 0
+    for trial in range(150):
+        words = [f"w{i}" for i in range(r.choice([3, 6, 12]))]
+        templates = [(f"L{k}", " ".join(r.choice(words) for _ in range(r.randint(4, 14)))) for k in range(r.randint(1, 4))]
+        text = [r.choice(words) for _ in range(r.randint(0, 25))]
+        for _, t in templates:
+            t = t.split()
+            for _ in range(r.randint(0, 2)):
+                t[r.randrange(len(t))] = "other"
+            if r.random() < 0.7:
+                text += t + [r.choice(words)]
+        scanner = lic.LicenseScanner(templates, (("w1 w2", "p"),), min_match=2, max_gap=3, min_cover=0.7)
+        got = scanner.scan(" ".join(text).encode())
+        want = brute_labels(" ".join(text), templates, 2, 3, 0.7)
+        assert sorted((x["label"], x["first_word"], x["end_word"], x["cover"]) for x in got["spans"]) == want
+        base = {"p"} if any(a == "w1" and b == "w2" for a, b in zip(text, text[1:])) else set()
+        assert got["labels"] == ",".join(sorted(base | {x[0] for x in want})) and got["score"] == max((x[3] for x in want), default=0.0)
+        labelled += bool(want)
+    assert labelled > 50
+
+
+def test_long_texts_full_of_phrases_take_linear_time():
+    import time
+
+    s = lic.LicenseScanner()
+    for text in (b"cc by " * 800_000, b"the software is provided " * 200_000):
+        began = time.time()
+        s.scan(text)
+        assert time.time() - began < 15  # about a second; a quadratic scan takes many minutes
+
+
+def test_whole_licences():
+    s = lic.LicenseScanner()
+    for label in ("mit", "bsd-2-clause", "bsd-3-clause", "zlib"):
+        text = max((t for n, t in lic.TEMPLATES if n == label), key=len)
+        got = s.scan(f"Copyright 2001 A. Person\n{text}\nint main()".encode())
+        assert label in got["labels"].split(",") and got["score"] == 1.0
+    assert "bsd-2-clause" not in s.scan(dict(lic.TEMPLATES)["bsd-3-clause"].encode())["labels"]
+
+
 # --- toxicity ---
 
 
