@@ -411,7 +411,7 @@ def _ordinals(docs: DataFrame) -> DataFrame:
     return written(rows.select((offset + rank).alias("ord"), "doc_id", "text"), "suffix-ordinals")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, batch_windows: int = 1 << 18, shard_windows: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, batch_windows: int = 1 << 17, shard_windows: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a width-byte string that also starts earlier: in a smaller doc_id, or before in the same document.
