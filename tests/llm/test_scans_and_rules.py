@@ -322,6 +322,68 @@ def test_penalty_lowers_what_identity_terms_add(labelled):
     assert score(b"n1 muslim n2") < 0.5 < score(b"n1 n2 you idiot scum")
 
 
+def test_counterfactuals_act_on_the_tables(spark):
+    """No text of these tables mentions an identity term, so all counterfactuals come from slots."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    from pyspark.sql import functions as F
+
+    mine = labels.select("doc_id", "toxic").where(~tx.held_out(F.col("doc_id")))
+    problem, index, _ = tx.training_problem(docs, mine)
+    assert len(problem.base) > 300 and len(index) > tx.Counterfactuals().features().__len__()
+    free = tx.Problem.__new__(tx.Problem)
+    free.__dict__.update(problem.__dict__, penalty=0.0)
+    with_penalty, without = tx.fit_logistic(problem), tx.fit_logistic(free)
+    assert 0 < problem.change(*with_penalty) < 0.8 * problem.change(*without)
+
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+
+    def right(model):
+        rows = tx.score_documents(docs.join(labels.select("doc_id"), "doc_id", "left_semi").where(tx.held_out(F.col("doc_id"))), model).collect()
+        return sum((r.score >= 0.5) == (truth[r.doc_id] > 0) for r in rows) / len(rows)
+
+    model = lambda fit: tx.Model(fit[0], {f: float(fit[1][i]) for f, i in index.items()})
+    assert right(model(with_penalty)) >= max(0.97, right(model(without)) - 1e-9)
+
+
+def brute_word_features(word):
+    import xxhash
+
+    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in (word, *(b"*" + word[:k] for k in (4, 5, 6) if k < len(word)))}
+
+
+def test_features_and_swaps_match_brute_force():
+    c = tx.Counterfactuals((("aaaaa", "bbbbbb", "cc"), ("dd", "ee")))
+    feats = lambda ws: set().union(*(brute_word_features(w) for w in ws), set())
+    against, swapped = c.of([b"x", b"aaaaa", b"dd", b"y"])
+    assert against == feats([b"x", b"aaaaa", b"dd", b"y"])
+    assert swapped == [feats([b"x", b"bbbbbb", b"ee", b"y"]), feats([b"x", b"cc", b"dd", b"y"])]
+    against, swapped = c.of([b"x", b"yyyyyyy"])  # a slot: the text with each member of one group
+    mentions = [against, *swapped]
+    assert sorted(map(sorted, mentions)) in [sorted(sorted(feats([b"x", b"yyyyyyy", t])) for t in g) for g in ([b"aaaaa", b"bbbbbb", b"cc"], [b"dd", b"ee"])]
+    assert c.of([])[0] and tx.words_of("Ünï-x A1 \n".encode()) == ["Ünï".encode(), b"x", b"a1"]
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(7) < 0.5) for _ in range(9)]
+    pairs = [(int(rng.integers(9)), np.flatnonzero(rng.random(7) < 0.2), np.flatnonzero(rng.random(7) < 0.3)) for _ in range(12)]
+    problem = tx.Problem(rows, (rng.random(9) < 0.5).astype(float), rng.random(9) + 0.1, 7, pairs, 1.7, 0.05)
+    b, w = 0.3, rng.normal(size=7)
+    # the loss itself, written out example by example
+    sig = lambda s: 1 / (1 + np.exp(-s))
+    p = [sig(b + w[r].sum()) for r in rows]
+    share = problem.share
+    want = -sum(s * np.log(x if y else 1 - x) for s, x, y in zip(share, p, problem.labels)) + 0.05 * (w**2).sum() / 2
+    want += 1.7 * np.mean([(sig(b + w[rows[i]].sum() - w[lost].sum() + w[gained].sum()) - p[i]) ** 2 for i, lost, gained in pairs])
+    assert abs(problem.loss(b, w) - want) < 1e-12
+    by_b, by_w = problem.gradient(b, w)
+    e = 1e-6
+    assert abs(by_b - (problem.loss(b + e, w) - problem.loss(b - e, w)) / (2 * e)) < 1e-6
+    for i in range(7):
+        step = np.eye(7)[i] * e
+        assert abs(by_w[i] - (problem.loss(b, w + step) - problem.loss(b, w - step)) / (2 * e)) < 1e-6
+
+
 @pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
 def test_toxicity_on_odd_rows(spark, request, name, labelled):
     docs = request.getfixturevalue(name)
