@@ -8,86 +8,69 @@ padded tokens.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
-
-#: Up to so many different lengths, each is a candidate boundary and the boundaries are the true optimum.
-LENGTHS = 1 << 15
-#: With more of them, lengths up to EXACT are still candidates of their own; above, 256 cells for each doubling bound the histogram's
-#: size, and the largest length in a cell is its candidate.
-EXACT = 512
-
-
-def candidate(length: Column) -> Column:
-    """The upper end of the length's cell. At most 512 + 256 * 54 cells exist for any long."""
-    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)) - 0.5)).cast("int") - 8, F.lit(0)))
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / unit).cast("long") * unit)
-
+from .common import word_count
 
 def optimal_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """At most `buckets` boundaries out of the increasing candidates `tops` minimising sum(counts * boundary).
+    """At most `buckets` boundaries out of the increasing lengths `tops` minimising sum(counts * boundary).
 
-    cost[k][j] = min over i of cost[k-1][i] + tops[j] * (documents in (i, j]). The best i grows with j, so each layer is filled by
-    divide and conquer.
+    cost[j] with one bucket more = min over i < j of cost[i] + tops[j] * (documents in (i, j]). For a fixed i that is a line in tops[j], and
+    later lines are flatter, so a layer is a lower hull that is queried from left to right: time in proportion to the lengths. Whole
+    numbers throughout, so the optimum is exact at any size.
     """
     m = len(tops)
     if not m:
         return []
-    buckets = min(buckets, m)
-    before = np.concatenate([[0], np.cumsum(counts.astype(np.float64))])
-    height = tops.astype(np.float64)
-    cost = height * before[1:]  # one bucket
+    height, before = [int(t) for t in tops], [0, *np.cumsum(counts.astype(np.int64)).tolist()]
+    cost = [h * c for h, c in zip(height, before[1:])]  # one bucket
     choice = []
-    for _ in range(1, buckets):
-        new, arg = np.full(m, np.inf), np.zeros(m, np.int64)
-        todo = [(0, m - 1, 0, m - 1)]
-        while todo:
-            a, b, lo, hi = todo.pop()
-            if a > b:
-                continue
-            j = (a + b) // 2
-            top = min(j - 1, hi)
-            if top < lo:  # no room for a further boundary below j
-                new[j], arg[j] = cost[j], -1
-                best = lo
-            else:
-                i = np.arange(lo, top + 1)
-                total = cost[i] + height[j] * (before[j + 1] - before[i + 1])
-                best = lo + int(np.argmin(total))
-                new[j], arg[j] = total[best - lo], best
-            todo += [(a, j - 1, lo, best), (j + 1, b, best, hi)]
+    for _ in range(1, min(buckets, m)):
+        new, arg = cost[:], np.full(m, -1, np.int32)
+        hull: list[int] = []  # lines cost[i] - x * before[i + 1], of falling slope
+        head = 0
+        for j in range(1, m):
+            i, offset, slope = j - 1, cost[j - 1], before[j]
+            while len(hull) - head >= 2:
+                a, b = hull[-2], hull[-1]  # b is not needed if the new line passes a no later than b does
+                if (offset - cost[a]) * (before[b + 1] - before[a + 1]) <= (cost[b] - cost[a]) * (slope - before[a + 1]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+            x = height[j]
+            while len(hull) - head >= 2 and cost[hull[head + 1]] - x * before[hull[head + 1] + 1] <= cost[hull[head]] - x * before[hull[head] + 1]:
+                head += 1
+            best = hull[head]
+            value = cost[best] - x * before[best + 1] + x * before[j + 1]
+            if value < new[j]:
+                new[j], arg[j] = value, best
         choice.append(arg)
         cost = new
-    ends, j = [], m - 1
+    ends, j = [m - 1], m - 1
     for arg in reversed(choice):
-        ends.append(j)
-        if arg[j] < 0:
-            break
-        j = int(arg[j])
-    else:
-        ends.append(j)
-    return sorted({int(tops[e]) for e in ends})
+        if arg[j] >= 0:
+            j = int(arg[j])
+            ends.append(j)
+    return sorted(int(tops[e]) for e in ends)
 
 
-def pack(lengths: DataFrame, buckets: int = 16, batch_tokens: int = 65_536, shard_rows: int = 2_048, most_lengths: int = LENGTHS) -> DataFrame:
+def pack(lengths: DataFrame, buckets: int = 16, batch_tokens: int = 65_536, shard_rows: int = 2_048) -> DataFrame:
     """From doc_id, n_tokens: doc_id, n_tokens, bucket, bucket_tokens, shard, batch, slot, padding; every row appears once.
 
     bucket_tokens: the bucket's boundary; a batch holds at most max(1, batch_tokens // bucket_tokens) documents, so its padded size
-    exceeds the budget only for a document that does so alone. A large bucket is split into shards by a hash of doc_id, so that no task
+    exceeds the budget only for a document that does so alone. A large bucket is split into shards by a hash of doc_id and length, so that no task
     holds a whole bucket; each shard ends in at most one unfilled batch. batch numbers the batches of a shard from 0.
 
-    The boundaries are optimal; with more than most_lengths different lengths they are the best among the largest lengths of cells (see EXACT).
+    The boundaries are the optimum over all lengths that occur. The driver holds the histogram of different lengths: d of them add up to
+    d^2 / 2 tokens at least, so 100 TB of text has at most some six million.
 
-    Null lengths count as 0. Ties and repeated rows get slots of their own. An empty table gives an empty result.
+    Null lengths count as 0. Null doc_ids, ties and repeated rows get slots of their own. An empty table gives an empty result.
     """
     lengths = lengths.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    hist = written(lengths.groupBy(F.col("n_tokens").alias("top")).agg(F.count(F.lit(1)).alias("n")), "packing-lengths")
-    if hist.count() > most_lengths:
-        hist = hist.groupBy(candidate(F.col("top")).alias("cell")).agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-    hist = hist.select("top", "n").orderBy("top").collect()
-    tops, counts = np.array([r.top for r in hist], np.int64), np.array([r.n for r in hist], np.int64)
+    hist = lengths.groupBy(F.col("n_tokens").alias("top")).agg(F.count(F.lit(1)).alias("n")).orderBy("top").toPandas()
+    tops, counts = hist["top"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
     ends = optimal_boundaries(tops, counts, buckets)
     if not ends:
         ends = [0]
@@ -98,7 +81,7 @@ def pack(lengths: DataFrame, buckets: int = 16, batch_tokens: int = 65_536, shar
     at = lambda values, i: F.get(F.array(*(F.lit(v).cast("long") for v in values)), i)
     bucket = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e < F.col("n_tokens")))
     rows = lengths.select("doc_id", "n_tokens", bucket.alias("bucket"))
-    rows = rows.select("*", at(ends, F.col("bucket")).alias("bucket_tokens"), F.pmod(F.xxhash64("doc_id"), at(shards, F.col("bucket"))).alias("shard"))
+    rows = rows.select("*", at(ends, F.col("bucket")).alias("bucket_tokens"), F.pmod(F.xxhash64("doc_id", "n_tokens"), at(shards, F.col("bucket"))).alias("shard"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n_tokens")) - 1
     rows = rows.select("*", rank.alias("rank"), at(caps, F.col("bucket")).alias("cap"))
     return rows.select(
