@@ -94,17 +94,22 @@ def entropy_mix(
     cap: float = 2.0,
     steps: int = 40,
     tolerance: float = 1e-7,
-    blocks: int = 64,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """From doc_id, source, size: doc_id, source, size, source_size, target, rate, copies, taken.
 
     copies: whole copies, 0 to cap; taken: words taken, copies * size but for one document per source that gives or takes part of a
     copy so that the source's sum meets its target. Documents without words take 0 words and 1 copy. The result depends on the rows
-    alone, not on their order or partitioning; repeated rows are told apart by their rank. An empty table gives an empty result.
+    alone, not on their order or partitioning; repeated rows are told apart by their rank. A null source is a source; null doc_ids are
+    documents each. An empty table gives an empty result.
+
+    Rounding runs along each source's documents, larger sizes first (by classes of half a doubling, then blocks by a hash, of which there is one
+    for every block_rows rows of the table): what was taken before a document decides whether its fraction becomes a copy.
     """
     sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets")
+    blocks = 1 + (hist.agg(F.sum("n")).first()[0] or 0) // block_rows
     dual = broadcast_within(_solve(hist, targets, cap, steps, tolerance).select("source", "lam", "scale", "target", "source_size"), MAX_BROADCAST_SOURCES)
 
     full = F.col("target") >= cap * F.col("source_size")
@@ -117,7 +122,7 @@ def entropy_mix(
         F.floor(F.col("rate") + 1e-9).cast("long").alias("base"),
         F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + 1e-9)).alias("frac"),
         F.floor(2 * F.log2(F.col("size") + 1)).cast("int").alias("cls"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).alias("block"),
     )
     docs = written(docs, "mix-rates")
 
@@ -153,10 +158,15 @@ def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of docs in as many whole copies as the mix takes; rows that share a doc_id come in the same number of copies. Null doc_ids come once."""
-    copies = mix_documents(docs, **kwargs).groupBy("doc_id").agg(F.max("copies").alias(internal("copies")))
-    right = copies.select(F.col("doc_id").alias(internal("id")), internal("copies"))
-    joined = docs.join(right, docs["doc_id"] == right[internal("id")], "left")
+    """The rows of docs, with all their columns, whatever their names, in as many whole copies as the mix takes.
+
+    Rows are told apart by doc_id, source and text together (64 bits of hash). Rows alike in all three take the same number of copies each, the
+    rounded mean of what the mix gives them. Null texts are documents without words, which come once. An empty table gives an empty result.
+    """
+    key = F.xxhash64("doc_id", "source", "text")
+    sizes = docs.select(key.alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    copies = entropy_mix(sizes, **kwargs).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("long").alias(internal("copies")))
+    copies = copies.where(F.col(internal("copies")) > 0).withColumnRenamed("doc_id", internal("right"))
+    joined = docs.withColumn(internal("key"), key).join(copies, F.col(internal("key")) == F.col(internal("right")))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(internal("copies")))).alias(internal("copy"))
-    one = F.coalesce(F.col(internal("copies")), F.lit(1).cast("long"))
-    return joined.withColumn(internal("copies"), one).where(F.col(internal("copies")) > 0).select(*(docs[c] for c in docs.columns), times).drop(internal("copy"))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), times).drop(internal("copy"))
