@@ -66,6 +66,14 @@ def path_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Renames path, which takes the place of anything at `to`."""
+    fs, where = _hadoop(spark, path)
+    remove_path(spark, to)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     fs, where = _hadoop(spark, path)
     fs.delete(where, True)
