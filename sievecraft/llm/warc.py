@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page into shards by splitters that depend on the rows alone; each shard is written as a series of gzip-per-record
-files that roll at a compressed size. Files are written under temporary names and renamed when complete; a manifest, itself renamed
-into place, commits the whole. A repeated or lost task writes the same bytes again under the same final name.
+Records are range-sorted by page into shards by splitters that depend on the rows alone; each shard is one task's and is written as a series
+of gzip-per-record files that roll at a compressed size. Files are written under temporary names and renamed when complete; a manifest in
+parts, itself renamed into place, commits the whole. A repeated or lost task writes the same bytes again under the same final name.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, written
+from .common import move_path, path_exists, remove_path, shuffle_partitions, written
 
 MANIFEST = "file string, shard int, n_records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -28,8 +30,10 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's nam
 
 
 def _fs(uri: str):
+    """The folder's file system and its path there; Hadoop's names of S3 are known."""
     from pyarrow import fs
 
+    uri = re.sub(r"\As3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -89,24 +93,48 @@ class _Roller:
             self.file, self.seq = None, self.seq + 1
 
 
-def _splitters(pages: DataFrame, shards: int, oversample: int = 64) -> list[int]:
-    """Quantiles of a sample of page_ids chosen by their hash, so that the same rows give the same shards on any cluster."""
-    n = pages.count()
-    if shards < 2 or not n:
-        return []
-    share = min(1.0, shards * oversample / n)
-    picked = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("page_id").where("page_id is not null")
-    ids = sorted(r[0] for r in picked.limit(shards * oversample * 4).collect())
-    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
+def _splitters(meta: DataFrame, shards: int, oversample: int = 16) -> np.ndarray:
+    """Quantiles by bytes of a sample of the different page_ids, chosen by their hash, so that the same rows give the same shards on any cluster.
 
-
-def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, min_payload: int = 0, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
+    About oversample ids for each shard reach the driver.
+    """
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    pages = meta.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("bytes").cast("long") + 512).alias("bytes"))
+    pages = written(pages, "warc-pages")
+    share = min(1.0, shards * oversample / max(1, pages.count()))
+    picked = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).orderBy("page_id").toPandas()
+    if not len(picked):
+        return np.zeros(0, np.int64)
+    upto = picked["bytes"].to_numpy(np.int64).cumsum()
+    return np.unique(picked["page_id"].to_numpy(np.int64)[np.searchsorted(upto, upto[-1] * np.arange(1, shards) // shards)])
+
+
+def _shard_of(spark: SparkSession, cuts: np.ndarray) -> Column:
+    """The number of cuts not above page_id, by binary search; rows without page_id are dealt by their payload."""
+    if not len(cuts):
+        return F.lit(0)
+    shared = spark.sparkContext.broadcast(cuts)  # at most most_shards numbers
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    dealt = F.pmod(F.xxhash64("payload"), F.lit(len(cuts) + 1)).cast("int")
+    return F.when(F.col("page_id").isNull(), dealt).otherwise(place(F.coalesce(F.col("page_id"), F.lit(0).cast("long"))))
+
+
+def write_warc(
+    pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, min_payload: int = 0, date: str = "2020-01-01T00:00:00Z", most_shards: int = 1 << 16
+) -> DataFrame:
     """Writes a record per row of page_id, url, html under the folder `out`; returns the manifest (file, shard, n_records, bytes, sha256).
 
-    shard_bytes: payload bytes of a shard; roll_bytes: compressed bytes at which a file is closed. Of records with equal payloads of at
-    least min_payload bytes the smallest page_id is a response and the others are revisits of it; of repeated rows with that page_id
-    the first by url is the response. Null html is an empty payload; a null url gives a urn; rows with null page_id come first in
-    their shard and are all responses. An empty table gives an empty manifest.
+    shard_bytes: payload bytes of a shard, more if there would be more than most_shards of them; roll_bytes: compressed bytes at which a
+    file is closed. Of records with equal payloads of at least min_payload bytes the smallest page_id is a response and the others are
+    revisits of it; of repeated rows with that page_id the first by url is the response. Rows that share a page_id stay in one shard.
+    Null html is an empty payload; a null url gives a urn; rows with null page_id are all responses, dealt over the shards, first in
+    each. A payload of any length is one record, held in memory while it is written. An empty table gives an empty manifest. Other columns
+    are ignored, whatever their names.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -114,17 +142,15 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_byt
     meta = written(rows.select("page_id", F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("bytes")), "warc-meta")
     firsts = meta.where(F.col("bytes") >= min_payload).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.col("bytes").alias("b"), "first")
     total = meta.agg(F.sum(F.col("bytes").cast("long") + 512)).first()[0] or 0
-    cuts = _splitters(pages, max(1, -(-total // shard_bytes)))
-    nested = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    shard = F.coalesce(F.size(F.filter(nested, lambda c: c <= F.col("page_id"))), F.lit(0)) if cuts else F.lit(0)
+    cuts = _splitters(meta, min(most_shards, max(1, -(-total // shard_bytes))))
+    shard = _shard_of(spark, cuts)
 
     # which payload came first is found on digests alone; payloads are shuffled once, into their shard
     links = written(meta.where(F.col("page_id").isNotNull()).join(firsts, ["sha"], "inner").where("bytes = b and first is not null").select("page_id", "sha", "first").distinct(), "warc-links")
     keyed = rows.select("*", shard.alias("shard"))
-    parts = max(shuffle_partitions(spark), len(cuts) + 1)
     links = links.select(F.col("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), shard.alias("shard"), "sha", "first", F.lit(0).alias("kind"))
     both = keyed.select("*", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(links)
-    both = both.repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload")
+    both = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(out, roll_bytes)
@@ -156,16 +182,12 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_byt
 
 
 def _commit(files: DataFrame, out: str) -> None:
-    """The manifest names every file, so a file that it does not name is no part of the archive. One row per file reaches the driver."""
-    fs, root = _fs(out)
-    fs.create_dir(root, recursive=True)
-    temp = f"{root}/_manifest-{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as f:
-        for r in files.orderBy("file").toLocalIterator():
-            f.write((json.dumps(r.asDict(), sort_keys=True) + "\n").encode())
-    fs.move(temp, f"{root}/manifest.jsonl")
-    if fs.get_file_info(f"{root}/_temporary").type.name == "Directory":
-        fs.delete_dir(f"{root}/_temporary")  # what lost attempts left
+    """The manifest names every file, so a file that it does not name is no part of the archive."""
+    spark, temp = files.sparkSession, f"{out}/_manifest-{uuid.uuid4().hex}"
+    files.write.json(temp)
+    move_path(spark, temp, f"{out}/manifest")
+    if path_exists(spark, f"{out}/_temporary"):
+        remove_path(spark, f"{out}/_temporary")  # what lost attempts left
 
 
 def _members(fs, path: str, step: int = 1 << 20) -> Iterator[bytes]:
@@ -207,8 +229,12 @@ def parse_record(data: bytes, verify: bool = True) -> dict:
 
 
 def read_warc(spark: SparkSession, out: str, with_payload: bool = True) -> DataFrame:
-    """The records of the files that the manifest names, digests verified: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    files = spark.read.schema(MANIFEST).json(f"{out}/manifest.jsonl").select("file")
+    """The records of the files that the manifest names, digests verified: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+
+    Null page_ids, null urls, empty payloads and repeated rows come back as they were written; a null html comes back as an empty payload. Files
+    are streamed record by record. A damaged record or a file that ends within one raises ValueError. An empty manifest gives no rows.
+    """
+    files = spark.read.schema(MANIFEST).json(f"{out}/manifest").select("file")
     schema = T.StructType.fromDDL(RECORD)
     if not with_payload:
         schema = T.StructType([f for f in schema if f.name != "payload"])

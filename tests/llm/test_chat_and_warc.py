@@ -117,10 +117,26 @@ def test_archives_are_the_same_bytes_again(spark, pages, tmp_path):
     shas = []
     for k, df in enumerate((pages, pages.repartition(7))):
         warc.write_warc(df, f"file://{tmp_path}/{k}", shard_bytes=100_000, roll_bytes=3_000)
-        shas.append([json.loads(x) for x in (tmp_path / str(k) / "manifest.jsonl").read_text().splitlines()])
+        lines = [x for f in (tmp_path / str(k) / "manifest").glob("*.json") for x in f.read_text().splitlines()]
+        shas.append(sorted((json.loads(x) for x in lines), key=lambda x: x["file"]))
     assert shas[0] == shas[1] and shas[0]
 
 
+def test_shards_are_even_and_ranges(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id * id as page_id", "'u' as url", "repeat('x', 200 + cast(id % 50 as int)) as html", "1 as `a.b`")
+    files = warc.write_warc(rows, f"file://{tmp_path}/w", shard_bytes=100_000, most_shards=16)
+    size, span = {}, {}
+    for f in files.collect():
+        size[f.shard] = size.get(f.shard, 0) + f.n_records
+        for data in warc._members(*warc._fs(f"file://{tmp_path}/w/{f.file}")):
+            p = warc.parse_record(data)["page_id"]
+            lo, hi = span.get(f.shard, (p, p))
+            span[f.shard] = (min(lo, p), max(hi, p))
+    assert len(size) == 16 and max(size.values()) < 2 * 4000 / 16
+    ends = [span[k] for k in sorted(span)]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_files_without_a_manifest_entry_are_no_part(spark, pages, tmp_path):
     out = f"file://{tmp_path}/w"
     warc.write_warc(pages, out)
