@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
+#: Window starts that are gathered before they join the others.
+_RUN = 256
 
 
 def escape(text: Column) -> Column:
@@ -39,22 +41,28 @@ def _starts(turns: Column, n_system: Column, system_tokens: Column, budget: int,
         fits = F.filter(F.sequence(F.lit(0), F.lit(history)), lambda k: (i - k >= low) & (F.get(turns, i)["before"] - F.get(turns, i - k)["before"] <= history_tokens))
         return let(F.array_max(fits), lambda k: F.struct((i - k).cast("int").alias("from"), (F.get(turns, i)["before"] - F.get(turns, (i - k).cast("int"))["before"]).alias("tokens")))
 
+    def appended(acc: Column, start: Column) -> tuple[Column, Column]:
+        """The starts go into a short array, and full ones into `out`, so that adding one does not copy all that came before."""
+        full = F.size(acc["last"]) >= _RUN
+        return F.when(full, F.array_append(acc["out"], acc["last"])).otherwise(acc["out"]).alias("out"), F.when(full, F.array(start)).otherwise(F.array_append(acc["last"], start)).alias("last")
+
     def step(acc: Column, i: Column) -> Column:
         over = F.get(turns, i)["before"] + F.get(turns, i)["tokens"] - acc["base"] > budget - system_tokens
         fresh = hist(i)
         # base: the prefix sum at the first token counted in the window; a turn beyond the budget alone gets a window of its own, whole
         again = let(fresh, lambda h: F.struct(
             (F.get(turns, i)["before"] - F.when(h["tokens"] + F.get(turns, i)["tokens"] <= budget - system_tokens, h["tokens"]).otherwise(F.lit(0).cast("long"))).alias("base"),
-            F.array_append(acc["out"], F.struct(i.alias("start"), F.when(h["tokens"] + F.get(turns, i)["tokens"] <= budget - system_tokens, h["from"]).otherwise(i).alias("from"))).alias("out"),
+            *appended(acc, F.struct(i.alias("start"), F.when(h["tokens"] + F.get(turns, i)["tokens"] <= budget - system_tokens, h["from"]).otherwise(i).alias("from"))),
         ))
         return F.when(over & (i > n_system), again).otherwise(acc)
 
     zero = F.struct(
         F.when(F.size(turns) > n_system, F.get(turns, n_system)["before"]).otherwise(F.lit(0).cast("long")).alias("base"),
-        F.array(F.struct(n_system.alias("start"), n_system.alias("from"))).alias("out"),
+        F.array().cast("array<array<struct<start:int,from:int>>>").alias("out"),
+        F.array(F.struct(n_system.alias("start"), n_system.alias("from"))).alias("last"),
     )
     todo = F.when(F.size(turns) > n_system, F.sequence(n_system, F.size(turns) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(todo, zero, step)["out"]
+    return let(F.aggregate(todo, zero, step), lambda a: F.concat(F.flatten(a["out"]), a["last"]))
 
 
 def format_chats(turns: DataFrame, budget: int = 1024, history: int = 2, history_tokens: int = 256, tokens: Column | None = None) -> DataFrame:

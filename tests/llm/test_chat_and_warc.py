@@ -55,6 +55,25 @@ def test_round_trip_through_windows(turns, budget, history):
     windows.unpersist()
 
 
+def test_a_conversation_of_very_many_windows(spark):
+    """More window starts than are gathered at a time; the spans are those of a plain walk over the turns."""
+    rows = [(1, i, "assistant" if i % 2 else "user", "x" * (i * 37 % 90)) for i in range(3000)]
+    windows = cf.format_chats(spark.createDataFrame(rows, TURNS), budget=64, history=2, history_tokens=20)
+    got = sorted((w.window, w.n_new) for w in windows.collect())
+    size = [(len(t) + 3) // 4 + 4 for *_, t in rows]
+    want, base, new = [], 0, 0
+    for i, n in enumerate(size):
+        if base + n > 64 and i:
+            want.append(new)
+            fits = [k for k in range(min(2, i) + 1) if sum(size[i - k : i]) <= 20]
+            history = sum(size[i - max(fits) : i])
+            base, new = (history if history + n <= 64 else 0), 0
+        base, new = base + n, new + 1
+    want.append(new)
+    assert len(want) > 2 * cf._RUN and got == list(enumerate(want))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cf.digests(cf.read_back(windows)).collect()} == expected(spark.createDataFrame(rows, TURNS).collect())
+
+
 def test_no_turns(spark):
     assert cf.digests(cf.read_back(cf.format_chats(spark.createDataFrame([], TURNS)))).count() == 0
 
