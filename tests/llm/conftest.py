@@ -12,7 +12,7 @@ def odd_docs(spark):
         (5, " \n\t ", "en", "b", 3), (6, LONG, "en", "a", len(LONG)), (7, LONG.upper(), "en", "a", len(LONG)), (1, "Same text here, of some words", "en", "a", 1),
         (None, "same text here, of some words", "en", "a", 1), (None, None, None, None, None), (8, "ÄÖ ünï \u0000 words \U0001F600 \\ \" end", "de", "c", 9), (9, "one", "en", "c", 3),
     ]
-    names = ("keep_id", "kept", "row", "b", "edge", "size", "rank", "fp", "node", "n_words", "host", "score", "target", "copies", "bucket", "batch", "key", "start", "norm", "component_id", "n_tokens", "rid", "taken", "id")
+    names = ("keep_id", "kept", "row", "b", "edge", "size", "rank", "fp", "node", "n_words", "host", "score", "target", "copies", "bucket", "batch", "key", "start", "norm", "component_id", "n_tokens", "rid", "taken", "id", "a.b", "place", "lines")
     df = spark.createDataFrame(rows, DOC)
     from pyspark.sql import functions as F
 
