@@ -130,8 +130,8 @@ nl AS (SELECT rid, host, translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+',
 lc AS (SELECT rid, host, l, count(*) AS n, len(string_split(l, ' ')) AS words FROM nl GROUP BY rid, host, l),
 f AS (
   SELECT host, l FROM lc JOIN (SELECT host AS hh, count(*) AS hd FROM d GROUP BY host) h ON host IS NOT DISTINCT FROM hh
-  WHERE words >= 3 GROUP BY host, l, hd HAVING count(*) > 20 AND count(*) > 0.2 * hd),
-rm AS (SELECT rid, sum(words * n) AS rw, sum(n) AS rl FROM lc JOIN f ON lc.host IS NOT DISTINCT FROM f.host AND lc.l = f.l WHERE words >= 3 GROUP BY rid),
+  GROUP BY host, l, hd HAVING count(*) > 20 AND count(*) > 0.01 * hd),
+rm AS (SELECT rid, sum(words * n) AS rw, sum(n) AS rl FROM lc JOIN f ON lc.host IS NOT DISTINCT FROM f.host AND lc.l = f.l GROUP BY rid),
 b AS (
   SELECT rid, doc_id, len(w) AS n_words, length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM d),

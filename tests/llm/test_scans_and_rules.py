@@ -61,6 +61,50 @@ def test_line_frequency_within_hosts(spark):
     assert all(not got[200 + i].kept and got[200 + i].n_removed_lines == 12 and not got[200 + i].base_failed for i in range(40))
 
 
+def brute_clean(rows, line_docs, share, min_left):
+    """What quality_rules and clean_documents should do, by plain counting."""
+    shape = lambda x: lower(" ".join(WORD.findall(x)))
+    docs, hosts = defaultdict(Counter), Counter(h for _, _, h in rows)
+    for _, t, h in rows:
+        docs[h].update({shape(x) for x in (t or "").split("\n") if WORD.search(x)})
+    out = {}
+    for d, t, h in rows:
+        limit = max(line_docs, share * hosts[h])
+        lines = (t or "").split("\n")
+        left = [x for x in lines if not (WORD.search(x) and docs[h][shape(x)] > limit)]
+        n, m = len(WORD.findall(t or "")), sum(len(WORD.findall(x)) for x in left)
+        ok = n >= 50 and not (len(left) < len(lines) and m < min_left * n)
+        out[d] = (ok, n - m, len(lines) - len(left), "\n".join(left))
+    return out
+
+
+def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
+    r = random.Random(11)
+    lines = ["Home", "About us", "all rights RESERVED  by us", "  Subscribe to our letter now "]
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(r.choice([10, 60])))
+    rows = []
+    for i in range(240):
+        some = [r.choice(lines).upper() if r.random() < 0.3 else r.choice(lines) for _ in range(r.randint(0, 40))]
+        rows.append((i, "\n".join([*some, "", body(i)]), r.choice(["big", "big", "small", None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as `a.b`", "2 as lines")
+    for share in (0.01, 0.5):
+        want = brute_clean(rows, 20, share, 0.2)
+        got = {x.doc_id: (x.kept, x.n_removed_words, x.n_removed_lines) for x in ql.quality_rules(docs, line_share=share, max_repeat_percent=100).collect()}
+        assert got == {d: w[:3] for d, w in want.items()}
+        clean = ql.clean_documents(docs, line_share=share, max_repeat_percent=100)
+        assert clean.columns == docs.columns
+        assert {x.doc_id: x.text for x in clean.collect()} == {d: w[3] for d, w in want.items() if w[0]}
+        if share == 0.01:
+            assert sum(w[2] > 0 for w in want.values()) > 100 and any(not w[0] and w[1] for w in want.values())
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
+def test_clean_documents_on_odd_rows(request, name):
+    docs = request.getfixturevalue(name)
+    clean = ql.clean_documents(docs)
+    assert clean.columns == docs.columns and {x.doc_id for x in clean.collect()} <= {6, 7}
+
+
 # --- suffix dedup ---
 
 
