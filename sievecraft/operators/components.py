@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.plans.storage import written
+from sievecraft.plans.storage import remove_path, scope, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component for every node of the edges a, b; component is the smallest node of it. Nodes without an edge do not appear.
 
     Minima are partial aggregates and hubs meet their neighbours in equi-joins that AQE can split, so no step holds a component in one
-    task. Each round is written to the shared folder; only counts and a checksum reach the driver.
+    task. Each round is written to the shared folder, where it takes the place of the one before; only counts and a checksum reach the driver.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "cc")
+    with scope() as made:
+        edges = written(edges, "cc")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = mark(edges)
     files = max(16, -(-before[0] // 500_000))  # rounds do not add edges to speak of; many tiny files cost more than they hold
     for _ in range(max_rounds if before[0] else 0):
-        edges = written(_small_star(_large_star(edges)).coalesce(files), "cc")
+        old = made
+        with scope() as made:
+            edges = written(_small_star(_large_star(edges)).coalesce(files), "cc")
+        for path in old:
+            remove_path(edges.sparkSession, path)
         after = mark(edges)
         if after == before:
             break
