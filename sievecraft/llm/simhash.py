@@ -5,14 +5,15 @@ odd product with v. Whatever r bits two fingerprints differ in, some v is orthog
 and the two collide in that table: 2^(r+1) - 1 tables find every pair within the radius, without chance.
 
 Copies are merged into one fingerprint first. Inside a table's bucket the links are reduced to a spanning forest by a search that compares
-each fingerprint with the ones not reached yet; a bucket above a block's size is split into pairs of blocks. No group of pairs is
-emitted, and none is lost: every link has both ends in some block or pair of blocks.
+each fingerprint with the ones not reached yet. A bucket above a block's size is no task's: pivots link its members in a few distributed
+rounds, and only what they do not reach is compared, in blocks, with the rest of the bucket (see spanning_links). No group of pairs is
+emitted, and no link is lost.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,47 +93,148 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "kind int, a long, b long, k long"
+_LINKS = "a long, b long"
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "a", "b", "k"])
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _scan_buckets(radius: int, block: int):
-    """Over rows k, fp sorted by k: kind 0 rows are links a-b; kind 1 rows are a fingerprint a in block b of a bucket k above one block."""
+def _scan_buckets(radius: int):
+    """Over rows k, fp sorted by k: the links of each bucket's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, part, out = None, [], 0, []
+        key, held, out = None, [], []
 
-        def flush(more: bool) -> None:
-            nonlocal held, part
-            if held:
-                fps = np.unique(np.concatenate(held))
-                out.extend((0, a, b, key) for a, b in forest(fps, radius))
-                if more or part:
-                    out.extend((1, int(x), part, key) for x in fps)
-            held, part = [], part + 1 if more else 0
+        def flush() -> None:
+            nonlocal held
+            if sum(map(len, held)) > 1:
+                out.extend(forest(np.unique(np.concatenate(held)), radius))
+            held = []
 
         for batch in batches:
             k, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             ends = np.r_[starts[1:], len(k)]
-            first, last = 0, len(starts) - 1
-            for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == first) | (np.arange(len(starts)) == last)):
+            last = len(starts) - 1
+            for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == last)):
                 if k[starts[i]] != key:
-                    flush(False)
+                    flush()
                     key = k[starts[i]]
-                for s in range(starts[i], ends[i], block):
-                    if sum(map(len, held)) >= block:
-                        flush(True)
-                    held.append(fp[s : min(s + block, ends[i])])
+                held.append(fp[starts[i] : ends[i]])
             if len(out) > 20_000:
-                yield _found(out)
-                out = []
-        flush(False)
-        yield _found(out)
+                yield _links(out)
+                out.clear()
+        flush()
+        yield _links(out)
+
+    return run
+
+
+def _large(rows: DataFrame, block: int) -> DataFrame | None:
+    """big: the keys k with more than `block` rows; None if there are none. Sizes are partial aggregates."""
+    big = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("k").alias("big")), "large-keys")
+    return big if big.limit(1).count() else None
+
+
+def _parted(rows: DataFrame, big: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of other keys, and those of the keys in big."""
+    if big is None:
+        return rows, None
+    known = broadcast_within(big, 100_000)
+    return rows.join(known, F.col("k") == F.col("big"), "left_anti"), rows.join(known, F.col("k") == F.col("big"), "left_semi")
+
+
+def spanning_links(rows: DataFrame, test: Callable, both: Callable, block: int, weight: int = 1 << 62, rounds: int = 4, pivots: int = 8) -> DataFrame:
+    """Links a, b whose components are those of all similar pairs within each group k, for groups of any size.
+
+    rows: k, node, item, w, a node once in a group. The first node of a group is its first pivot, and what is similar to it is linked to it. Later
+    rounds take about `pivots` of the nodes linked last as pivots for what is left, so all that is linked is one connected set, within
+    which no pair needs a look. In the end what no pivot reached is compared with its whole group, both dealt into blocks of `block` nodes
+    and `weight` of w. test: Arrow rows k, node, item, p (array of the pivots' node, item) to k, node, item, hit, a similar pivot's node.
+    both: rows g, node, item sorted by g and node to the links of each g.
+    """
+    sizes = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("s"), F.min("node").alias("first")), "span-sizes")
+    kinds = dict(rows.dtypes)
+    seeds, open_, links, left = sizes.select("k", F.col("first").alias("node")), rows.select("k", "node", "item"), [], 0
+    for r in range(rounds):
+        chosen = rows.join(seeds, ["k", "node"]).groupBy("k").agg(F.collect_list(F.struct("node", "item")).alias("p"))
+        tested = open_.join(chosen, "k", "left").select("k", "node", "item", "p").mapInArrow(test, f"k long, node long, item {kinds['item']}, hit long")
+        tested = written(tested, "span-tested")
+        links.append(tested.where("hit is not null and hit <> node").select(F.col("node").alias("a"), F.col("hit").alias("b")))
+        open_ = tested.where("hit is null").select("k", "node", "item")
+        left = open_.count()
+        new = tested.where("hit is not null").select("k", "node")
+        if not left or not new.limit(1).count():
+            break
+        spread = F.greatest(F.col("n") / pivots, F.lit(1)).cast("long")
+        seeds = new.join(sizes, "k").where(F.pmod(F.xxhash64("node", F.lit(r)), spread) == 0).select("k", "node")
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    if not left:
+        return out
+    cut = lambda n, s: F.greatest(F.ceil(F.greatest(n / block, s / weight)), F.lit(1)).cast("long")
+    rest = open_.join(rows.select("k", "node", "w"), ["k", "node"])
+    plan = rest.groupBy("k").agg(F.count(F.lit(1)).alias("u_n"), F.sum("w").alias("u_s")).join(sizes, "k").select("k", cut(F.col("u_n"), F.col("u_s")).alias("u"), cut(F.col("n"), F.col("s")).alias("v"))
+    plan = written(plan, "span-plan")
+    every = lambda top: F.explode(F.sequence(F.lit(0).cast("long"), F.col(top) - 1))
+    ours = rest.join(plan, "k").select("k", "node", "item", F.pmod(F.xxhash64("node", F.lit(7)), F.col("u")).alias("i"), every("v").alias("j"))
+    theirs = rows.join(plan, "k").select("k", "node", "item", F.pmod(F.xxhash64("node", F.lit(8)), F.col("v")).alias("j"), every("u").alias("i")).select("k", "node", "item", "i", "j")
+    dealt = ours.union(theirs).select(F.xxhash64("k", "i", "j").alias("g"), "node", "item")
+    dealt = dealt.repartition(shuffle_partitions(rows.sparkSession), "g").sortWithinPartitions("g", "node")
+    return out.union(dealt.mapInArrow(both, _LINKS))
+
+
+def _near_pivots(radius: int):
+    """test() of spanning_links for items that are fingerprints: the first pivot within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[list, np.ndarray]] = {}
+        for b in batches:
+            k = b.column(0).to_numpy()
+            items = b.column(2).to_pylist()
+            hit = [None] * len(k)
+            for key in np.unique(k):
+                at = np.flatnonzero(k == key)
+                if key not in known:
+                    if len(known) > 1_000:
+                        known.clear()
+                    p = b.column(3)[int(at[0])].as_py() or []
+                    known[key] = [x["node"] for x in p], np.frombuffer(b"".join(x["item"] for x in p), np.uint64)
+                nodes, fps = known[key]
+                if not nodes:
+                    continue
+                mine = np.frombuffer(b"".join(items[i] for i in at), np.uint64).reshape(len(at), -1)
+                near = np.array([np.bitwise_count(mine ^ f).sum(axis=1) <= radius for f in fps.reshape(len(nodes), -1)])
+                for i, some, first in zip(at, near.any(axis=0), near.argmax(axis=0)):
+                    if some:
+                        hit[i] = nodes[first]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(hit, pa.int64())], names=["k", "node", "item", "hit"])
+
+    return run
+
+
+def _linked_items(radius: int):
+    """both() of spanning_links for items that are fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, fps = None, [], []
+
+        def links() -> pa.RecordBatch:
+            return _links([(nodes[i], nodes[j]) for i, j in _near(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), radius)])
+
+        for batch in batches:
+            for g, n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g != group:
+                    if len(nodes) > 1:
+                        yield links()
+                    group, nodes, fps = g, [], []
+                if not nodes or n != nodes[-1]:
+                    nodes.append(n)
+                    fps.append(f.as_py())
+        if len(nodes) > 1:
+            yield links()
 
     return run
 
@@ -143,19 +245,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -
     tables = F.array(*(F.lit(m).cast("long") for m in masks))
     keys = distinct.select("fp", F.explode(F.transform(tables, lambda m, i: F.xxhash64(F.col("fp").bitwiseAND(m), i))).alias("k")).select("k", "fp")
     parts = shuffle_partitions(distinct.sparkSession)
-    found = written(keys.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_buckets(radius, block), _FOUND), "simhash-links")
-    links = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("k", F.col("b").alias("part"), F.col("a").alias("fp"))
-    if large.limit(1).count():
-        parts_of = large.groupBy("k").agg(F.max("part").alias("top"))
-        paired = large.join(parts_of, "k").select("k", "part", "fp", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("other")).where("other <> part")
-        paired = paired.select("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
-
-        def both(t: pa.Table) -> pa.Table:
-            rows = forest(np.unique(t.column("fp").to_numpy()), radius)
-            return pa.table({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
-
-        links = links.union(paired.groupBy("k", "i", "j").applyInArrow(both, "a long, b long"))
+    small, large = _parted(keys, _large(keys, block))
+    links = written(small.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_buckets(radius), _LINKS), "simhash-links")
+    if large is not None:
+        items = large.select("k", F.col("fp").alias("node"), F.unhex(hex16(F.col("fp"))).alias("item"), F.lit(1).cast("long").alias("w"))
+        links = links.union(spanning_links(items, _near_pivots(radius), _linked_items(radius), block))
     return links
 
 
@@ -297,43 +391,31 @@ def _near(wide: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-_WIDE_FOUND = "kind int, a long, b long, k long, wide binary"
-
-
-def _scan_wide(radius: int, block: int):
-    """Over rows k, node, wide sorted by k: kind 0 links a-b; kind 1 a node a with its fingerprint in block b of a bucket k above one block."""
+def _scan_wide(radius: int):
+    """Over rows k, node, wide sorted by k: the links of each bucket's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, fps, part, out = None, [], [], 0, []
+        key, nodes, fps, out = None, [], [], []
 
-        def flush(more: bool) -> None:
-            nonlocal nodes, fps, part
-            if len(nodes) > 1 or nodes and (more or part):
+        def flush() -> None:
+            nonlocal nodes, fps
+            if len(nodes) > 1:
                 wide = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE)
-                out.extend((0, nodes[i], nodes[j], key, None) for i, j in _near(wide, radius))
-                if more or part:
-                    out.extend((1, n, part, key, f) for n, f in zip(nodes, fps))
-            nodes, fps, part = [], [], part + 1 if more else 0
-
-        def found() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "a", "b", "k", "wide"])
+                out.extend((nodes[i], nodes[j]) for i, j in _near(wide, radius))
+            nodes, fps = [], []
 
         for batch in batches:
             for k, n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if k != key:
-                    flush(False)
+                    flush()
                     key = k
-                elif len(nodes) >= block:
-                    flush(True)
                 nodes.append(n)
                 fps.append(f.as_py())
             if len(out) > 20_000:
-                yield found()
+                yield _links(out)
                 out.clear()
-        flush(False)
-        yield found()
+        flush()
+        yield _links(out)
 
     return run
 
@@ -385,20 +467,50 @@ def _confirm(words: int, similarity: float):
     return run
 
 
+def _similar_pivots(words: int, similarity: float):
+    """test() of spanning_links for items that are texts: the first pivot of that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for b in batches:
+            hit = []
+            for i, (k, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
+                if k not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[k] = [(x["node"], shingle_set(x["item"], words)) for x in b.column(3)[i].as_py() or []]
+                own = shingle_set(text.as_py(), words)
+                for node, s in known[k]:
+                    common = len(np.intersect1d(own, s, assume_unique=True))
+                    if not len(own) and not len(s) or common and common / (len(own) + len(s) - common) >= similarity:
+                        hit.append(node)
+                        break
+                else:
+                    hit.append(None)
+            item = pa.array([None if h is not None else t.as_py() for h, t in zip(hit, b.column(2))], pa.binary())  # linked texts are not needed again
+            yield pa.record_batch([b.column(0), b.column(1), item, pa.array(hit, pa.int64())], names=["k", "node", "item", "hit"])
+
+    return run
+
+
 def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = 4096, shingles: int = 2_000_000) -> DataFrame:
     """Links a, b whose components are those of all pairs of that Jaccard similarity within the groups node, component.
 
     Each text of a group is read once, and its shingles are compared with those of the whole group. A group of more than `block` texts
-    or `shingles` shingles is dealt into parts, and every pair of parts is compared.
+    or `shingles` shingles is no task's, see spanning_links.
     """
-    spark, cut = rows.sparkSession, F.greatest(F.col("m") / block, F.col("s") / shingles)
-    groups = written(groups.join(sketches.select("node", "n"), "node"), "similar-candidates")
-    parts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("component", F.ceil(cut).cast("long").alias("parts"))
-    dealt = groups.join(parts, "component").select("component", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).alias("part"), "parts")
-    dealt = dealt.select("component", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)).alias("other"))
-    dealt = dealt.select("node", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("g"))
-    texts = rows.join(broadcast_within(dealt, 200_000), "node").select("g", "node", "text")
-    return texts.repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "node").mapInArrow(_confirm(words, similarity), "a long, b long")
+    spark = rows.sparkSession
+    groups = written(groups.join(sketches.select("node", "n"), "node").select(F.col("component").alias("k"), "node", F.greatest("n", F.lit(1)).alias("w")), "similar-candidates")
+    sizes = groups.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("s"))
+    big = written(sizes.where((F.col("m") > block) | (F.col("s") > shingles)).select(F.col("k").alias("big")), "large-groups")
+    small, large = _parted(groups, big if big.limit(1).count() else None)
+    texts = rows.join(broadcast_within(small.select("node", "k"), 200_000), "node").select("k", "node", "text")
+    links = texts.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "node").mapInArrow(_confirm(words, similarity), _LINKS)
+    if large is not None:
+        once = rows.join(large.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("item"))  # copies share a node
+        items = written(once.join(large, "node").select("k", "node", "item", "w"), "similar-large")
+        links = links.union(spanning_links(items, _similar_pivots(words, similarity), _confirm(words, similarity), block, shingles))
+    return links
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
@@ -407,9 +519,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     Candidates come from prefix filtering: shingles have one order for all texts, rare ones first, and two sets of that similarity have a common
     shingle among the first ones of both, so texts that share one of these are compared, whatever their length. 512-bit SimHash fingerprints
     leave out pairs that are far apart (see PRESELECT). What is left forms candidate groups by spanning links alone, over distinct texts,
-    large buckets split into pairs of blocks. Within a candidate group the similarity of the sets themselves decides.
+    keys of more than `block` texts by pivots (see spanning_links). Within a candidate group the similarity of the sets themselves decides.
 
-    Nulls count as empty texts; texts without words are alike. Rows with null doc_id get component_id from the others of their group.
+    Nulls count as empty texts; texts without words are alike; texts of any length are compared whole. Rows with null doc_id get component_id
+    from the others of their group. Repeated rows are returned each. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     parts, limit = shuffle_partitions(docs.sparkSession), preselect(similarity)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("node"), F.col("text").cast("binary").alias("text"))
@@ -418,22 +532,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))  # copies merge here
     keys = sketched.select(F.explode("keys").alias("k"), "node")
     shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared")
-    keys = shared.join(nodes.select("node", "wide"), "node").select("k", "node", "wide")  # most keys have one text; fingerprints travel with the others alone
-    found = written(keys.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit, block), _WIDE_FOUND), "similar-links")
-    links = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("k", F.col("b").alias("part"), F.col("a").alias("node"), "wide")
-    if large.limit(1).count():
-        top = large.groupBy("k").agg(F.max("part").alias("top"))
-        paired = large.join(top, "k").select("k", "part", "node", "wide", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("other")).where("other <> part")
-
-        def both(t: pa.Table) -> pa.Table:
-            n = t.column("node").to_pylist()
-            found = _near(np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE), limit)
-            return pa.table({"a": pa.array([n[i] for i, _ in found], pa.int64()), "b": pa.array([n[j] for _, j in found], pa.int64())})
-
-        pairs = paired.groupBy("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        links = links.union(pairs.applyInArrow(both, "a long, b long"))
-
+    small, large = _parted(shared, _large(shared, block))
+    wide = nodes.select("node", "wide")  # most keys have one text; fingerprints travel with the others alone
+    links = small.join(wide, "node").select("k", "node", "wide").repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit), _LINKS)
+    if large is not None:
+        items = written(large.distinct().join(wide, "node").select("k", "node", F.col("wide").alias("item"), F.lit(1).cast("long").alias("w")), "similar-hot")
+        links = links.union(spanning_links(items, _near_pivots(limit), _linked_items(limit), block))
     groups = connected_components(links)
     comps = connected_components(confirmed_links(rows, nodes, groups, words, similarity, block))
     named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots")
@@ -443,6 +547,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
 
 
 def drop_near_duplicates(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of docs without those of a group of similar texts but its smallest doc_id. Rows with null doc_id stay."""
+    """The rows of docs, with all their columns, without those of a group of similar texts but its smallest doc_id.
+
+    Rows with null doc_id stay, and so do all rows that share the smallest doc_id. Null texts count as empty. An empty table gives an empty result.
+    """
     gone = similar_groups(docs, **kwargs).where("doc_id <> component_id").select(F.col("doc_id").alias(internal("gone"))).distinct()
     return docs.join(gone, docs["doc_id"] == gone[internal("gone")], "left_anti")
