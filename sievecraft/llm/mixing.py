@@ -94,7 +94,7 @@ def entropy_mix(
     cap: float = 2.0,
     steps: int = 40,
     tolerance: float = 1e-7,
-    block_rows: int = 20_000,
+    block_rows: int = 50_000,
 ) -> DataFrame:
     """From doc_id, source, size: doc_id, source, size, source_size, target, rate, copies, taken.
 
@@ -103,13 +103,13 @@ def entropy_mix(
     alone, not on their order or partitioning; repeated rows are told apart by their rank. A null source is a source; null doc_ids are
     documents each. An empty table gives an empty result.
 
-    Rounding runs along each source's documents, larger sizes first (by classes of half a doubling, then blocks by a hash, of which there is one
-    for every block_rows rows of the table): what was taken before a document decides whether its fraction becomes a copy.
+    Rounding runs along each source's documents, larger sizes first (by classes of half a doubling, then blocks by a hash, of which there are 64
+    and one more for every block_rows rows of the table): what was taken before a document decides whether its fraction becomes a copy.
     """
     sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets")
-    blocks = 1 + (hist.agg(F.sum("n")).first()[0] or 0) // block_rows
+    blocks = 64 + (hist.agg(F.sum("n")).first()[0] or 0) // block_rows
     dual = broadcast_within(_solve(hist, targets, cap, steps, tolerance).select("source", "lam", "scale", "target", "source_size"), MAX_BROADCAST_SOURCES)
 
     full = F.col("target") >= cap * F.col("source_size")

@@ -71,7 +71,7 @@ def brute_rate(sizes, target):
     return rate(lo)
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 25])
+@pytest.mark.parametrize("block_rows", [50_000, 25])
 def test_rates_copies_and_words_match_brute_force(spark, block_rows):
     rng = np.random.default_rng(12)
     rows = [(int(i), ["a", "b", "c", "d", None, "hot"][min(5, int(rng.integers(0, 9)))], int(rng.choice([0, 1, 5, 40, 300, 7_000])) + int(rng.integers(0, 9))) for i in range(500)]
@@ -80,7 +80,7 @@ def test_rates_copies_and_words_match_brute_force(spark, block_rows):
     assert sorted((r["doc_id"], str(r["source"]), r["size"]) for r in got) == sorted((a, str(b), c) for a, b, c in rows)
     from pyspark.sql import functions as F
 
-    blocks = 1 + len(rows) // block_rows
+    blocks = 64 + len(rows) // block_rows
     hashed = {r.doc_id: (-math.floor(2 * math.log2(r.size + 1)), r.b, -r.size, r.h, r.doc_id) for r in df.select("doc_id", "size", F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).alias("b"), F.xxhash64("doc_id", "size").alias("h")).collect()}
     targets = water_fill({s: sum(n for _, t, n in rows if t == s) for s in {t for _, t, _ in rows}})
     for s, target in targets.items():
