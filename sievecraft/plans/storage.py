@@ -29,9 +29,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation."""
+def written(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation.
+
+    compact: narrow rows go through a shuffle that AQE brings to partitions of a good size, so that they make few files.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if compact else df
     path = scratch(spark, tag)
     for scope in _scopes:
         scope.append(path)
