@@ -12,6 +12,9 @@ from .text import casefold, first_match, let, literal_pattern, strip
 
 # The tags, markers and word lists of the caption policy.
 REASONING_TAGS = ("think", "thinking", "reasoning", "reflection", "thought")
+REASONING_BLOCK = r"(?is)<{tag}[^>]*>.*?</{tag}>"
+REASONING_OPENING = r"(?is)\A\s*(thinking|reasoning|reflection|thought process):.*?\n\s*\n"
+ANSWER_MARKER = r"(?ims)\A.*^\s*[*_#> ]*(?:final caption|final answer|caption)\s*[:*_]*\s*$\n?(.*)\z"
 QUOTES = (('"', '"'), ("“", "”"), ("'", "'"), ("‘", "’"))
 LIST_LINE = r"^(?:[-*•]|\d+[.)])\s+"
 META_OPENING = r"(?i)^(?:here(?:'s| is)|i (?:see|can see)|the image (?:shows|depicts)|analysis:|caption:)"
@@ -47,11 +50,13 @@ DESCRIPTOR_STOPWORDS = (
 def strip_reasoning(text: Column) -> Column:
     """Drops reasoning blocks, an opening thinking paragraph, all up to the last caption marker, back-ticks and one pair of quotes."""
     v = F.coalesce(text, F.lit(""))
+    blocks = v
     for tag in REASONING_TAGS:
-        v = F.regexp_replace(v, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    v = F.regexp_replace(v, r"(?is)\A\s*(thinking|reasoning|reflection|thought process):.*?\n\s*\n", "")
-    marker = r"(?ims)\A.*^\s*[*_#> ]*(?:final caption|final answer|caption)\s*[:*_]*\s*$\n?(.*)\z"
-    answer = let(v, lambda x: let(strip(F.regexp_extract(x, marker, 1)), lambda after: strip(strip(strip(F.when(after != "", after).otherwise(x)), "`"))))
+        blocks = F.regexp_replace(blocks, REASONING_BLOCK.format(tag=tag), "")
+    v = let(v, lambda x: F.when(F.contains(x, F.lit("</")), blocks).otherwise(x))  # most texts have no tag at all
+    v = let(v, lambda x: F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, REASONING_OPENING, "")).otherwise(x))
+    after = lambda x: F.when(F.contains(F.lower(x), F.lit("caption")) | F.contains(F.lower(x), F.lit("final answer")), strip(F.regexp_extract(x, ANSWER_MARKER, 1))).otherwise("")
+    answer = let(v, lambda x: let(after(x), lambda a: strip(strip(strip(F.when(a != "", a).otherwise(x)), "`"))))
     unquoted = lambda x: F.coalesce(*(F.when((F.length(x) >= 2) & x.startswith(a) & x.endswith(b), strip(F.substring(x, F.lit(2), F.length(x) - 2))) for a, b in QUOTES), x)
     return let(answer, unquoted)
 
@@ -163,18 +168,6 @@ def descriptor_tokens(caption: Column, trigger: str = "") -> Column:
     return F.filter(tokens, lambda t: t != "")
 
 
-def descriptor_phrases(tokens: Column) -> Column:
-    """Distinct two- and three-word phrases without stop words that are not all digits."""
-    stop = F.array(*(F.lit(w) for w in DESCRIPTOR_STOPWORDS))
-
-    def grams(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts = F.filter(F.transform(at, lambda i: F.slice(tokens, i, F.lit(n))), lambda p: ~F.arrays_overlap(p, stop) & ~F.forall(p, lambda t: t.rlike(r"(?U)\A\d+\z")))
-        return F.transform(parts, lambda p: F.array_join(p, " "))
-
-    return F.array_distinct(F.concat(grams(3), grams(2)))
-
-
 def message_text(content: Column, parts: Column, reasoning_content: Column, reasoning: Column) -> Column:
     """A reply's text: its string or its joined text parts, else its reasoning fields; the first that is not empty, stripped."""
     full = lambda c: F.when(c != "", c)

@@ -34,18 +34,19 @@ def window_bounds(start: Column, duration: Column, margin: float = 0.2) -> tuple
     return F.greatest(F.lit(0.0), start - margin), start + F.greatest(F.lit(0.0), duration) + margin
 
 
-def transcript_for_window(segments: Column, start: Column, duration: Column, margin: float = 0.2) -> Column:
-    """The words, or the texts of segments without words, that overlap the window; unreliable segments are left out."""
-    low, high = window_bounds(start, duration, margin)
+def segment_line(s: Column, low: Column, high: Column) -> Column:
+    """The words of a segment that meet low..high, or its text if it has no words and meets them itself."""
+    near = F.filter(s["words"], lambda w: (F.coalesce(w["end"], w["start"]) >= low) & (w["start"] <= high))
+    spoken = strip(F.array_join(F.transform(near, lambda w: F.coalesce(w["word"], F.lit(""))), ""))
+    inside = (F.coalesce(s["end"], s["start"]) >= low) & (s["start"] <= high)
+    return F.when(F.size(F.coalesce(s["words"], F.array().cast("array<struct<word:string,start:double,end:double>>"))) > 0, spoken).when(inside, strip(F.coalesce(s["text"], F.lit(""))))
 
-    def line(s: Column) -> Column:
-        near = F.filter(s["words"], lambda w: (F.coalesce(w["end"], w["start"]) >= low) & (w["start"] <= high))
-        spoken = strip(F.array_join(F.transform(near, lambda w: F.coalesce(w["word"], F.lit(""))), ""))
-        inside = (F.coalesce(s["end"], s["start"]) >= low) & (s["start"] <= high)
-        return F.when(F.size(F.coalesce(s["words"], F.array().cast("array<struct<word:string,start:double,end:double>>"))) > 0, spoken).when(inside, strip(F.coalesce(s["text"], F.lit(""))))
 
+def transcript_for_window(segments: Column, start: Column, duration: Column, margin: float = 0.2) -> Column:
+    """The words, or the texts of segments without words, that overlap the window; unreliable segments are left out. For one recording's segments in a row."""
+    low, high = window_bounds(start, duration, margin)
     kept = F.filter(segments, lambda s: F.coalesce(s["reliable"], F.lit(True)))
-    return strip(F.array_join(F.filter(F.transform(kept, line), lambda x: x != ""), " "))
+    return strip(F.array_join(F.filter(F.transform(kept, lambda s: segment_line(s, low, high)), lambda x: x != ""), " "))
 
 
 def context_window(start: Column, duration: Column, padding: float = 5.0, minimum: float = 5.0) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.functions.hashing import hamming
+from sievecraft.functions.hashing import covering_masks, hamming
 from sievecraft.functions.text import casefold
 
 from .components import connected_components
@@ -37,26 +37,34 @@ def exact_duplicate_decisions(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "source_hash", F.col("k.item_id").alias("keeper_id"), F.col("k.path").alias("keeper_path"), "group_size", action.alias("action"))
 
 
+def caption_key(caption: Column) -> Column:
+    """Captions equal but for blanks and case have one key."""
+    return casefold(F.trim(F.regexp_replace(caption, r"(?U)\s+", " ")))
+
+
 def caption_groups(captions: DataFrame) -> DataFrame:
     """caption_key, n, first_image of captions equal but for blanks and case; empty captions are left out."""
-    key = casefold(F.trim(F.regexp_replace("caption", r"(?U)\s+", " ")))
-    return captions.select(key.alias("caption_key"), "image").where("caption_key <> ''").groupBy("caption_key").agg(F.count(F.lit(1)).alias("n"), F.min(casefold(F.col("image"))).alias("first_image")).where("n > 1")
+    return captions.select(caption_key(F.col("caption")).alias("caption_key"), "image").where("caption_key <> ''").groupBy("caption_key").agg(F.count(F.lit(1)).alias("n"), F.min(casefold(F.col("image"))).alias("first_image")).where("n > 1")
 
 
-def bands(h: Column, distance: int, bits: int = 64) -> Column:
-    """distance+1 slices of the hash; hashes within the distance share at least one."""
-    n = distance + 1
-    edges = [bits * i // n for i in range(n + 1)]
-    cut = lambda a, b: F.call_function("shiftrightunsigned", h, F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))
-    return F.array(*(F.struct(F.lit(i).alias("band"), cut(edges[i], edges[i + 1]).alias("value")) for i in range(n)))
+def caption_group_members(captions: DataFrame) -> DataFrame:
+    """caption_key, n, image of every member of the groups; groups are counted first and joined back, so none is gathered in a row."""
+    keyed = captions.select(caption_key(F.col("caption")).alias("caption_key"), "image")
+    groups = caption_groups(captions).select(F.col("caption_key").alias("g_key"), "n")
+    return keyed.join(groups, F.col("caption_key") == F.col("g_key")).select("caption_key", "n", "image")
 
 
 def near_duplicate_pairs(hashes: DataFrame, distance: int = 6) -> DataFrame:
-    """a, b, distance of distinct hash values within the distance, a < b; hashes has hash. Copies of a hash are one value here."""
-    rows = hashes.select("hash").where("hash is not null").distinct().select("hash", F.explode(bands(F.col("hash"), distance)).alias("k")).select("hash", "k.band", "k.value")
+    """a, b, distance of distinct hash values within the distance, a < b; hashes has hash. Copies of a hash are one value here.
+
+    Candidates share their bits under one of the covering masks, about 32 of 64, so chance meetings stay rare as the table grows.
+    """
+    tables = F.array(*(F.lit(m).cast("long") for m in covering_masks(distance)))
+    keys = F.transform(tables, lambda m, i: F.xxhash64(F.col("hash").bitwiseAND(m), i))
+    rows = hashes.select("hash").where("hash is not null").distinct().select("hash", F.explode(keys).alias("k"))
     left, right = rows.withColumnRenamed("hash", "a"), rows.withColumnRenamed("hash", "b")
     d = hamming(F.col("a"), F.col("b"))
-    return left.join(right, ["band", "value"]).where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") <= distance).distinct()
+    return left.join(right, "k").where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
 
 
 def near_duplicate_groups(hashes: DataFrame, distance: int = 6) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.functions.text import basename, casefold, stem
+from sievecraft.plans.storage import written
 from sievecraft.sources.files import IMAGE_SUFFIXES, VIDEO_SUFFIXES
 
 _ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
@@ -45,13 +46,14 @@ def output_stems(source: DataFrame, max_rounds: int = 50) -> DataFrame:
     first = rows.groupBy(F.col("key").alias("f_key")).agg(F.min("at").alias("first"))
     rows = rows.join(first, F.col("key") == F.col("f_key"))
     named = rows.select("item_id", "at", F.when(F.col("at") == F.col("first"), F.col("stem")).otherwise(F.concat("stem", F.lit("--"), F.substring("item_id", 1, 8))).alias("output_stem"), (F.col("at") == F.col("first")).alias("keeps"))
+    named = written(named, "stems")
     for _ in range(max_rounds):
         clash = named.groupBy(casefold(F.col("output_stem")).alias("c_key")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((~F.col("keeps")).alias("late"), F.col("at"))).alias("best")).where("n > 1")
         if clash.limit(1).count() == 0:
             return named.select("item_id", "output_stem")
         marked = named.join(clash, casefold(F.col("output_stem")) == F.col("c_key"), "left")
         lost = F.col("best").isNotNull() & (F.col("at") != F.col("best.at"))
-        named = marked.select("item_id", "at", F.when(lost, F.concat("output_stem", F.lit("-x"))).otherwise(F.col("output_stem")).alias("output_stem"), "keeps")
+        named = written(marked.select("item_id", "at", F.when(lost, F.concat("output_stem", F.lit("-x"))).otherwise(F.col("output_stem")).alias("output_stem"), "keeps"), "stems")
     raise RuntimeError("names still collide")
 
 
@@ -62,9 +64,3 @@ def rename_moves(items: DataFrame, wanted: DataFrame, listing: DataFrame) -> Dat
     pairs = pairs.join(listing.select(F.col("path").alias("src")).distinct(), "src", "left_semi")
     taken = pairs.join(listing.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").select("item_id").distinct()
     return pairs.join(taken, "item_id", "left_anti").select("item_id", "src", "dst")
-
-
-def first_by_stem(source: DataFrame) -> DataFrame:
-    """Rank of each item among those of its stem; for reports on small sets."""
-    key = casefold(stem(basename(F.col("source_relative_path"))))
-    return source.select("item_id", F.row_number().over(Window.partitionBy(key).orderBy(casefold(F.col("source_relative_path")), "item_id")).alias("rank"))

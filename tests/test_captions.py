@@ -75,5 +75,6 @@ def test_recurring_descriptors(spark):
     docs = spark.createDataFrame([(r,) for r in rows], "caption string")
     got = descriptors.recurring_descriptors(docs, "subject_token").collect()
     assert [(r["rank"], r.phrase, r.n, r.fraction) for r in got] == [(1, "long black hair", 4, 1.0)]
-    assert descriptors.caption_count(docs, "subject_token") == 4
+    got = descriptors.caption_recurrence(docs, "subject_token")
+    assert got["caption_count"] == 4 and got["minimum_count"] == 3 and got["recurring_descriptors"] == [{"text": "long black hair", "count": 4, "fraction": 1.0}]
     assert descriptors.recurring_descriptors(docs.limit(0)).count() == 0
