@@ -73,8 +73,8 @@ def caption_word_summary(quality: DataFrame) -> DataFrame:
 
 def training_handoff(quality: DataFrame, profile: dict) -> DataFrame:
     """One row: how many sized items reach the preferred area, coverage, megapixels, and items of another profile version."""
-    preferred = [int(v) for v in profile["settings"].get("preferred_resolutions", []) if int(v) > 0]
-    area = preferred[0] ** 2 if preferred else None
+    target = handoff_target(profile)
+    area = target**2 if target else None
     pixels = F.when(F.col("media_exists") & (F.col("width") > 0) & (F.col("height") > 0), (F.col("width") * F.col("height")).cast("long"))
     at = F.count_if(pixels >= area) if area else F.lit(0).cast("long")
     n = F.count(pixels)
@@ -87,6 +87,11 @@ def training_handoff(quality: DataFrame, profile: dict) -> DataFrame:
     )
 
 
+def handoff_target(profile: dict) -> int | None:
+    """The first preferred resolution."""
+    return next((int(v) for v in profile["settings"].get("preferred_resolutions", []) if int(v) > 0), None)
+
+
 def histogram(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.groupBy(value.alias(name)).agg(F.count(F.lit(1)).alias("n"))
 

@@ -145,6 +145,11 @@ def override_applies(matched: Column, status: Column, detections: Column, failur
     return matched.isNotNull() & (status == "residual_artifact") & (F.coalesce(F.size(detections), F.lit(0)) > 0) & (F.coalesce(F.size(failures), F.lit(0)) <= 0)
 
 
+def verification_folder() -> Column:
+    """Where the evidence of a clean-up that did not pass lies, below the review folder."""
+    return F.concat(F.lit("cleanup_verification/"), "item_id", F.lit("-"), F.substring("source_hash", 1, 12), F.lit("-"), F.coalesce("profile_version", F.lit("None")))
+
+
 def orphan_outputs(listing: DataFrame, items: DataFrame) -> DataFrame:
     """Paths of the listing that no active item which is not excluded claims."""
     known = items.where(F.col("active") & (F.col("status") != "excluded")).select(F.explode(F.array("output_image_path", "caption_path")).alias("path"))
@@ -163,24 +168,94 @@ def duplicate_evidence(decisions: DataFrame, items: DataFrame) -> DataFrame:
     """dst and evidence (JSON) of the record that each newly excluded exact duplicate leaves for review."""
     paths = items.select(F.col("item_id").alias("p_id"), "source_relative_path", "source_path")
     rows = decisions.where("action = 'exclude'").join(paths, F.col("item_id") == F.col("p_id"))
-    body = F.struct(F.lit("exact_duplicate").alias("reason"), F.col("source_hash").alias("sha256"), F.col("source_relative_path").alias("duplicate"), F.col("keeper_path").alias("kept"), "item_id", "keeper_id")
+    body = F.struct(F.lit("exact_duplicate_excluded").alias("status"), F.col("source_relative_path").alias("image"), F.col("keeper_path").alias("duplicate_of"), "source_hash", "item_id", "keeper_id")
     where = F.concat(F.lit("duplicates/exact/"), "item_id", F.lit("-"), F.substring("source_hash", 1, 12), F.lit("/duplicate.json"))
     return rows.select(where.alias("dst"), F.to_json(body).alias("evidence"))
 
 
-def validate_dataset(items: DataFrame, listing: DataFrame, profile: dict) -> DataFrame:
-    """One row: counts of items, errors, duplicates, orphans and audits. items has the columns of record_errors besides those of the item table."""
-    checked = caption_verdict(items.where(F.col("active") & (F.col("status") != "excluded")), profile).withColumn("errors", record_errors(profile))
-    totals = checked.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.size("errors") == 0).alias("valid_items"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("error_count"))
-    copies = checked.where("caption_exists").select(strip(F.col("caption")).alias("c")).where("c <> ''").groupBy("c").count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicate_caption_count"))
-    groups = checked.groupBy("source_hash").count().where("count > 1").agg(F.count(F.lit(1)).alias("exact_duplicate_group_count"))
-    orphans = orphan_outputs(listing, items).agg(F.count(F.lit(1)).alias("orphan_count"))
-    out = totals
-    for one_row in (copies, groups, orphans, audits(items)):  # each a single row
-        out = out.join(one_row, F.lit(True))
-    valid = (F.col("error_count") == 0) & (F.col("orphan_count") == 0)
-    return training_ready(out.withColumn("valid", valid), F.col("valid"))
+def record_warnings() -> Column:
+    small = F.col("media_exists") & ~F.col("corrupt") & (F.least("width", "height") < 512)
+    return F.array_compact(F.array(F.when(small, F.lit("low_resolution_below_512"))))
+
+
+def item_results(items: DataFrame, profile: dict) -> DataFrame:
+    """item_id, source_relative_path, source_hash, valid, errors, warnings, caption, width, height, aspect_ratio, media_type of the eligible items.
+
+    items has the columns of record_errors besides those of the item table; a corrupt or missing file has no dimensions.
+    """
+    rows = caption_verdict(items.where(F.col("active") & (F.col("status") != "excluded")), profile)
+    seen = F.col("media_exists") & ~F.col("corrupt")
+    width, height = F.when(seen, F.col("width")), F.when(seen, F.col("height"))
+    caption = F.when(F.col("caption_exists"), strip(F.coalesce("caption", F.lit("")))).otherwise("")
+    errors = record_errors(profile)
+    return rows.select(
+        "item_id", "source_relative_path", "source_hash", (F.size(errors) == 0).alias("valid"), errors.alias("errors"), record_warnings().alias("warnings"), caption.alias("caption"),
+        width.alias("width"), height.alias("height"), F.round(width / height, 6).alias("aspect_ratio"), F.when(F.col("is_video"), "video").otherwise("image").alias("media_type"),
+    )
+
+
+def exact_duplicate_members(items: DataFrame) -> DataFrame:
+    """source_hash, source_relative_path of eligible items whose content another eligible item has; groups are counted and joined back."""
+    rows = items.where(F.col("active") & (F.col("status") != "excluded")).select("source_hash", "source_relative_path")
+    several = rows.groupBy(F.col("source_hash").alias("s_hash")).agg(F.count(F.lit(1)).alias("s_n")).where("s_n > 1").select("s_hash")
+    return rows.join(several, F.col("source_hash") == F.col("s_hash"), "left_semi")
+
+
+_COUNTS = "struct<counts:struct<faces:int,persons:int,objects:int>>"
 
 
-def distribution(items: DataFrame) -> DataFrame:
-    return items.where((F.col("width") > 0) & (F.col("height") > 0)).groupBy(orientation(F.col("width"), F.col("height")).alias("orientation"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")).alias("resolution")).agg(F.count(F.lit(1)).alias("n"))
+def detection_counts(analysis_json: Column) -> Column:
+    """faces, persons and objects of an analysis; 0 for missing or bad JSON."""
+    got = F.from_json(F.coalesce(analysis_json, F.lit("{}")), _COUNTS)["counts"]
+    return F.struct(*(F.coalesce(got[c], F.lit(0)).alias(c) for c in ("faces", "persons", "objects")))
+
+
+#: Histograms of a data set's validation, by field.
+VALIDATION_HISTOGRAMS = ("watermark_status_counts", "cleanup_verification_status_counts", "analysis_status_counts", "crop_status_counts", "orientation_counts", "aspect_ratio_counts", "media_type_counts")
+VALIDATION_FLAGS = ("valid", "watermark_audit_complete", "analysis_audit_complete", "crop_audit_complete", "training_ready")
+
+
+def validation_facts(items: DataFrame, listing: DataFrame, profile: dict) -> DataFrame:
+    """section, field, key, value: every figure and histogram of a data set's validation, in one pass over the items and one over their results.
+
+    items has the columns of record_errors, cleanup_verification_json and analysis_json besides those of the item table; listing has path.
+    """
+    from sievecraft.plans import facts
+    from sievecraft.plans.storage import written
+
+    results = written(item_results(items, profile), "validation-results")
+    active = items.where("active")
+    eligible = F.col("status") != "excluded"
+    status = lambda c, d: F.coalesce(F.col(c), F.lit(d))
+    override = F.coalesce(F.from_json(F.coalesce("cleanup_verification_json", F.lit("{}")), "struct<override_applied:boolean>")["override_applied"], F.lit(False))
+    seen = detection_counts(F.col("analysis_json"))
+    one = active.agg(
+        F.count(F.lit(1)).alias("active_items"), F.count_if(F.col("review_status") == "cleanup_review_required").alias("cleanup_review_items"),
+        F.count_if(~eligible & (F.col("review_status") == "cleanup_excluded")).alias("cleanup_excluded_items"), F.count_if(eligible & override).alias("cleanup_override_applied_count"),
+        F.count_if(eligible & (seen["faces"] > 0)).alias("face_visible_items"), F.count_if(eligible & (seen["persons"] > 0)).alias("person_visible_items"),
+    )
+    audit = audits(items).select("watermark_audit_complete", "analysis_audit_complete", "crop_audit_complete", "eligible", "complete")
+    bad = F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long")
+    totals = results.agg(F.count(F.lit(1)).alias("items"), F.count_if("valid").alias("valid_items"), F.count_if(~F.col("valid")).alias("invalid_items"), bad.alias("error_count"))
+    copies = results.where("caption <> ''").groupBy("caption").count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicate_caption_count"))
+    groups = results.groupBy("source_hash").count().where("count > 1").agg(F.count(F.lit(1)).alias("exact_duplicate_group_count"))
+    loose = orphan_outputs(listing, items)
+    is_caption = F.lower("path").endswith(".txt")
+    orphans = loose.agg(F.count_if(~is_caption).alias("orphan_image_count"), F.count_if(is_caption).alias("orphan_caption_count"))
+    row = one
+    for other in (audit, totals, copies, groups, orphans):  # each a single row
+        row = row.join(other, F.lit(True))
+    valid = (F.col("error_count") == 0) & (F.col("orphan_image_count") == 0) & (F.col("orphan_caption_count") == 0)
+    row = training_ready(row.withColumn("valid", valid), F.col("valid")).drop("eligible", "complete")
+    sized = F.col("width").isNotNull() & F.col("height").isNotNull()
+    return facts.union(
+        facts.from_row(row, "validation", row.columns),
+        facts.counts(active, [
+            ("validation", "watermark_status_counts", status("watermark_status", "not_requested")), ("validation", "cleanup_verification_status_counts", status("cleanup_verification_status", "not_requested")),
+            ("validation", "analysis_status_counts", F.when(eligible, status("analysis_status", "not_started"))), ("validation", "crop_status_counts", F.when(eligible, status("crop_status", "not_requested"))),
+        ]),
+        facts.counts(results, [
+            ("validation", "orientation_counts", F.when(sized, orientation(F.col("width"), F.col("height")))), ("validation", "aspect_ratio_counts", F.when(sized, F.format_string("%.3f", "aspect_ratio"))), ("validation", "media_type_counts", F.col("media_type")),
+        ]),
+        facts.counts(results.select(F.explode("errors").alias("e")), [("validation", "error_counts", F.col("e"))]),
+    )

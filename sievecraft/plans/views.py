@@ -10,6 +10,7 @@ _DUCK = {"sha": "sha256({})", "div": "{} // {}", "json": "cast({} as varchar)"}
 
 def _columns(d: dict) -> dict[str, str]:
     sha, div = (lambda x: d["sha"].format(x)), (lambda a, b: "(" + d["div"].format(a, b) + ")")
+    num = lambda x: f"cast({x} as varchar(20))"
     text = "coalesce(text, '')"
     stem = f"concat(CASE WHEN doc_id % 4 = 0 THEN 'IMG' ELSE 'img' END, '_', cast({div('doc_id', 3)} as varchar(20)))"
     rel = f"concat(CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(source, 'none')) ELSE coalesce(source, 'none') END, '/', cast(doc_id % 3 as varchar(20)), '/', {stem}, CASE WHEN doc_id % 19 = 0 THEN '.mp4' ELSE '.png' END)"
@@ -45,6 +46,9 @@ def _columns(d: dict) -> dict[str, str]:
         "contrast_stddev": "cast(doc_id * 11 % 80 as double)",
         "edge_sharpness": "cast(doc_id * 13 % 60 as double) / 10",
         "removed_area_fraction": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE cast(doc_id * 3 % 40 as double) / 100 END",
+        "analysis_json": f"CASE WHEN doc_id % 25 = 0 THEN 'no json' WHEN doc_id % 25 = 1 THEN NULL ELSE concat('{{\"counts\": {{\"faces\": ', {num('doc_id % 5 % 3')}, ', \"persons\": ', {num('doc_id % 4')}, ', \"objects\": 1}}}}') END",
+        "cleanup_verification_json": "CASE WHEN doc_id % 9 = 0 THEN '{\"status\": \"verified_clean_override\", \"override_applied\": true}' WHEN doc_id % 9 = 1 THEN 'no json' WHEN doc_id % 9 = 2 THEN '{\"override_applied\": false}' END",
+        "lora_name": pick(3, "Zoe", "anna", ""),
         "faces": "doc_id % 5 % 3",
         "persons": "doc_id % 4",
     }
