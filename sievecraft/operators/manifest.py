@@ -112,9 +112,11 @@ def reset_missing_outputs(items: DataFrame, listing: DataFrame) -> DataFrame:
     return _set(joined, F.col("gone_id").isNotNull(), {"status": "pending", "validation_status": "not_started", "error": "Completed output was missing", "completed_at": None}).drop("gone_id")
 
 
-def claim_next(items: DataFrame, n: int = 1) -> DataFrame:
-    """The next n pending items, as they are while processed. Paths compare without regard to ASCII case."""
-    first = items.where(F.col("active") & (F.col("status") == "pending")).orderBy(F.lower("source_relative_path"), "item_id").limit(n)
+def claim_next(items: DataFrame, n: int | None = 1) -> DataFrame:
+    """The next n pending items, as they are while processed; with None all of them, unsorted. Paths compare without regard to ASCII case."""
+    first = items.where(F.col("active") & (F.col("status") == "pending"))
+    if n is not None:
+        first = first.orderBy(F.lower("source_relative_path"), "item_id").limit(n)
     return _set(first, F.lit(True), {"status": "processing", "attempts": F.col("attempts") + 1, "error": None})
 
 
@@ -133,6 +135,22 @@ def mark_failed(items: DataFrame, ids: DataFrame, error: str) -> DataFrame:
     return _mark(items, ids, {"status": "failed", "validation_status": "error", "error": error})
 
 
+def mark_watermark(items: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    return _mark(items, ids, {"watermark_status": status})
+
+
+def mark_verification(items: DataFrame, ids: DataFrame, status: str, payload: str, review_status: str) -> DataFrame:
+    return _mark(items, ids, {"cleanup_verification_status": status, "cleanup_verification_json": payload, "review_status": review_status})
+
+
+def mark_analysis(items: DataFrame, ids: DataFrame, status: str, payload: str) -> DataFrame:
+    return _mark(items, ids, {"analysis_status": status, "analysis_json": payload})
+
+
+def mark_crop(items: DataFrame, ids: DataFrame, status: str, payload: str) -> DataFrame:
+    return _mark(items, ids, {"crop_status": status, "crop_json": payload})
+
+
 def mark_excluded(items: DataFrame, ids: DataFrame, reason: str, review_status: str = "cleanup_excluded") -> DataFrame:
     return _mark(items, ids, {"status": "excluded", "validation_status": "excluded", "review_status": review_status, "error": reason})
 

@@ -18,6 +18,77 @@ def to_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, 2::-1]
 
 
+def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """height x width x 3 or 4 bytes, RGB or RGBA; grey is repeated, alpha stays."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, [2, 1, 0, 3][:channels]]
+
+
+#: EXIF orientation to (transpose first, flip rows, flip columns).
+_TURNS = {2: (False, False, True), 3: (False, True, True), 4: (False, True, False), 5: (True, False, False), 6: (True, False, True), 7: (True, True, True), 8: (True, True, False)}
+
+
+def oriented(a: np.ndarray, orientation: int) -> np.ndarray:
+    """The picture as its EXIF orientation wants it shown."""
+    if orientation not in _TURNS:
+        return a
+    swap, rows, columns = _TURNS[orientation]
+    a = a.swapaxes(0, 1) if swap else a
+    return a[:: -1 if rows else 1, :: -1 if columns else 1]
+
+
+def _exif_orientation(tiff: bytes) -> int:
+    """Tag 0x0112 of the first directory; 1 if there is none."""
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    if order is None or len(tiff) < 8:
+        return 1
+    at = struct.unpack(order + "I", tiff[4:8])[0]
+    count = struct.unpack(order + "H", tiff[at : at + 2])[0] if at + 2 <= len(tiff) else 0
+    for k in range(count):
+        entry = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) == 12 and struct.unpack(order + "H", entry[:2])[0] == 0x0112:
+            return struct.unpack(order + "H", entry[8:10])[0]
+    return 1
+
+
+def _jpeg_notes(head: bytes) -> tuple[int, bytes | None]:
+    orientation, parts, at = 1, {}, 2
+    while at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] != 0xDA:
+        size = struct.unpack(">H", head[at + 2 : at + 4])[0]
+        body = head[at + 4 : at + 2 + size]
+        if head[at + 1] == 0xE1 and body.startswith(b"Exif\0\0"):
+            orientation = _exif_orientation(body[6:])
+        if head[at + 1] == 0xE2 and body.startswith(b"ICC_PROFILE\0"):
+            parts[body[12]] = body[14:]
+        at += 2 + size
+    return orientation, b"".join(parts[k] for k in sorted(parts)) or None
+
+
+def _png_notes(head: bytes) -> tuple[int, bytes | None]:
+    orientation, icc, at = 1, None, 8
+    while at + 8 <= len(head) and head[at + 4 : at + 8] != b"IDAT":
+        size = struct.unpack(">I", head[at : at + 4])[0]
+        body = head[at + 8 : at + 8 + size]
+        if head[at + 4 : at + 8] == b"iCCP" and b"\0" in body:
+            icc = zlib.decompress(body[body.index(b"\0") + 2 :])
+        if head[at + 4 : at + 8] == b"eXIf":
+            orientation = _exif_orientation(body)
+        at += 12 + size
+    return orientation, icc
+
+
+def image_notes(head: bytes) -> tuple[int, bytes | None]:
+    """EXIF orientation and ICC profile from the beginning of a JPEG or PNG file; 1 and none where there are none or they are damaged."""
+    try:
+        if head.startswith(b"\xff\xd8"):
+            return _jpeg_notes(head)
+        if head.startswith(b"\x89PNG"):
+            return _png_notes(head)
+    except (struct.error, zlib.error, IndexError):
+        pass
+    return 1, None
+
+
 def luminance(rgb: np.ndarray) -> np.ndarray:
     """Whole grey levels by the ITU-R 601 weights in 16-bit fixed point, rounded."""
     r, g, b = (rgb[:, :, k].astype(np.uint32) for k in range(3))
@@ -99,12 +170,43 @@ def fidelity_metrics(reference: np.ndarray, cleaned: np.ndarray, pixel_change: f
     return {k: round(v, 6) for k, v in out.items()}
 
 
-def encode_png(rgb: np.ndarray) -> bytes:
+def encode_png(rgb: np.ndarray, icc: bytes | None = None) -> bytes:
+    """8-bit RGB or RGBA, with the colour profile if there is one."""
     h, w, n = rgb.shape
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     rows = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(rgb).reshape(h, w * n)], axis=1).tobytes()
     head = struct.pack(">IIBBBBB", w, h, 8, 6 if n == 4 else 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+    profile = chunk(b"iCCP", b"icc\0\0" + zlib.compress(icc, 6)) if icc else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + profile + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """A picture that encode_png made: 8-bit RGB or RGBA, rows without prediction. Others raise ValueError."""
+    at, body, size = 8, b"", None
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]
+        if kind == b"IHDR":
+            size = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+        if kind == b"IDAT":
+            body += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    if size is None or size[2:] not in ((8, 2, 0, 0, 0), (8, 6, 0, 0, 0)):
+        raise ValueError("not a PNG of this engine")
+    w, h, channels = size[0], size[1], 4 if size[3] == 6 else 3
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+    if rows[:, 0].any():
+        raise ValueError("not a PNG of this engine")
+    return rows[:, 1:].reshape(h, w, channels)
+
+
+def within_megapixels(a: np.ndarray, limit: float, rounded: bool = False) -> np.ndarray:
+    """The picture, made smaller if it has more pixels; sides are cut to whole numbers, or rounded."""
+    h, w = a.shape[:2]
+    if w * h <= limit * 1e6:
+        return a
+    scale = (limit * 1e6 / (w * h)) ** 0.5
+    side = (lambda v: max(1, round(v * scale))) if rounded else (lambda v: max(1, int(v * scale)))
+    return np.stack([resize_grey(a[:, :, k], side(h), side(w)) for k in range(a.shape[2])], axis=2).astype(np.uint8)
 
 
 def crop(rgb: np.ndarray, box: list[int]) -> np.ndarray:

@@ -25,6 +25,37 @@ _REMOVED = {"character": 0.35, "style": 0.12, "concept": 0.25}
 _CROPS = {"character": "identity_preserving", "style": "composition_preserving", "concept": "semantic"}
 _VIDEO_CROPS = {"character": "video_temporal_identity", "style": "video_composition_preserving", "concept": "video_motion_concept"}
 _PROSE_TRIGGERS = {"character": "contextual_prefix", "style": "prefix", "concept": "contextual_prefix"}
+# What captions of each model and dataset type are asked for, which aspects they describe, and the order of tags.
+CAPTION_INSTRUCTIONS = {
+    "krea2": {
+        "character": "Focus on visible factors that vary from image to image using concise natural language: clothing, accessories, pose, expression, gaze, framing, action, lighting, and setting. The trigger represents the recurring subject. Do not routinely repeat invariant facial features, eye color, or characteristic hair; mention hair only when its style, arrangement, or visibility is important to this specific image. Use concrete visual statements and keep background details brief.",
+        "style": "Describe the visible subject matter, composition, spatial layout, objects, setting, lighting, color relationships, and camera or rendering medium using concise natural language and concrete visual statements.",
+        "concept": "Clearly describe the visible subjects, action, pose, objects, camera framing, spatial relationships, direction, and interaction. Make the depicted interaction unambiguous and keep clothing and background details brief.",
+    },
+    "anima": {
+        "character": "Return one concise comma-separated Anima/Danbooru tag list in native order: optional quality/meta/year/safety tags, subject-count tags such as 1girl or 1boy, then general visible tags. Tag salient clothing, pose, expression, gaze, hair, accessories, framing, orientation, action, and background. Use lowercase tags separated by comma and space.",
+        "style": "Return one concise comma-separated Anima/Danbooru tag list in native order. Tag subject count, visible subjects, clothing, actions, composition, viewpoint, setting, objects, lighting, palette, and background. Use lowercase tags separated by comma and space.",
+        "concept": "Return one concise comma-separated Anima/Danbooru tag list in native order. Tag subject count and the visible subjects, action, pose, objects, direction, framing, and relationships needed to describe the depicted interaction. Add only salient clothing and background tags. Use lowercase tags separated by comma and space.",
+    },
+    "minimax_h3": {
+        "character": "Identify the recurring subject with only the visible appearance details needed to distinguish them. Describe clothing, expression, pose, framing, chronological body movement, interactions, camera behavior, relevant secondary motion, setting, and ending state. Avoid over-captioning invariant identity details that the trigger should carry.",
+        "style": "Describe visible subjects, scene content, composition, chronological action, camera behavior, and important secondary motion. Leave the shared target visual style primarily represented by the trigger unless a varying visible style attribute must be conditioned explicitly.",
+        "concept": "Give particular attention to the repeated motion concept. Clearly distinguish subject motion from camera motion and describe the initial state, continuous motion progression, consequence or transition, and ending state. Include enough scene content to separate it from the motion without over-captioning irrelevant static details.",
+    },
+}
+CAPTION_ASPECTS = {
+    "krea2": {
+        "character": {"describe_identity": False, "describe_clothing": True, "describe_pose": True, "describe_camera": True, "describe_background": True, "describe_lighting": True, "describe_style": False},
+        "style": {"describe_subject": True, "describe_composition": True, "describe_environment": True, "describe_lighting": True, "describe_color_relationships": True, "describe_style": False},
+        "concept": {"describe_subject": True, "describe_action": True, "describe_relationships": True, "describe_camera": True, "describe_environment": True},
+    },
+    "anima": {
+        "character": {"format": "tags", "describe_identity": False, "describe_clothing": True, "describe_pose": True, "describe_expression": True, "describe_background": True, "omit_character_series_artist": True},
+        "style": {"format": "tags", "describe_subject": True, "describe_composition": True, "describe_environment": True, "describe_style": False, "omit_character_series_artist": True},
+        "concept": {"format": "tags", "describe_subject": True, "describe_action": True, "describe_relationships": True, "describe_environment": True, "omit_character_series_artist": True},
+    },
+}
+OFFICIAL_TAG_ORDER = ["quality_meta_year_safety", "subject_count", "character", "series", "artist", "general"]
 MODELS = {
     "krea2": {
         "display_name": "Krea 2",
@@ -33,7 +64,7 @@ MODELS = {
     },
     "anima": {
         "display_name": "Anima",
-        "defaults": _SHARED | _PIXELS | {"caption_style": "anima_danbooru_tags", "caption_output_format": "comma_separated_tags", "caption_max_characters": 1400, "caption_max_words": 120, "trigger_required": True, "near_duplicate_maximum_hamming_distance": 6},
+        "defaults": _SHARED | _PIXELS | {"caption_style": "anima_danbooru_tags", "caption_output_format": "comma_separated_tags", "caption_max_characters": 1400, "caption_max_words": 120, "trigger_required": True, "near_duplicate_maximum_hamming_distance": 6, "official_tag_order": OFFICIAL_TAG_ORDER},
         "datasets": {k: {"trigger_behavior": "anima_subject_slot", "crop_strategy": _CROPS[k], "crop_max_removed_fraction": _REMOVED[k]} for k in DATASET_TYPES},
     },
     "minimax_h3": {
@@ -74,6 +105,8 @@ class ProfileRegistry:
         key, kind = self.model_for(model), str(dataset_type).strip().lower()
         if kind not in self.config[key]["datasets"]:
             raise ValueError(f"Unknown dataset type: {dataset_type}")
-        settings = merged(merged(self.config[key]["defaults"], self.config[key]["datasets"][kind]), overrides or {})
+        recipe = {"caption_instruction": CAPTION_INSTRUCTIONS.get(key, {}).get(kind), "caption": CAPTION_ASPECTS.get(key, {}).get(kind)}
+        dataset = {k: v for k, v in recipe.items() if v is not None} | self.config[key]["datasets"][kind]
+        settings = merged(merged(self.config[key]["defaults"], dataset), overrides or {})
         out = {"model": key, "model_display_name": self.display_name(key), "dataset_type": kind, "trigger": trigger.strip(), "settings": settings, "schema_version": SCHEMA_VERSION}
         return out | {"profile_version": config_version(out), "profile_id": f"{key}:{kind}"}

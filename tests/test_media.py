@@ -11,8 +11,9 @@ from sievecraft.functions import hashing
 from sievecraft.functions import intervals as iv
 from sievecraft.operators import pixels, providers, quality, validation
 from sievecraft.plans.profiles import ProfileRegistry, merged
-from sievecraft.plans.report import assessment, dataset_report, guidance, text_summary
-from sievecraft.sources import files, probe
+from sievecraft.operators import captioning
+from sievecraft.plans.report import assessment, display_lines, guidance, report_json, text_summary
+from sievecraft.sources import files, probe, sinks, stores
 from sievecraft.sources.sinks import write_report, write_sidecars
 from sievecraft.streaming.ingest import ingest_available, new_files
 
@@ -183,8 +184,15 @@ def test_providers(spark):
     assert providers.with_retries(flaky, sleep=waits.append) == "ok" and waits == [1.0, 2.0]
     assert providers.model_ids({"models": [{"name": "b"}, {"name": "A"}, {"name": "b"}, {}]}) == ["A", "b"]
     assert providers.FixedDetections({"confidence": 0.1, "detections": {"a": [{"confidence": 0.2}, {"confidence": 0.4}]}})({"item_id": "a"}) == {"detections": [{"confidence": 0.4}]}
-    assert providers.residual_mode("x") == "trust_klein" and "one paragraph" in providers.caption_instruction(REG.recipe("krea2", "style"))
-    assert providers.retry_instruction("a", 0) == "a" != providers.retry_instruction("a", 1) != providers.retry_instruction("a", 2)
+    assert providers.residual_mode("x") == "trust_klein" and providers.residual_mode(None) == "trust_klein"
+    p = REG.recipe("krea2", "style", "tok", {"additional_caption_instructions": "Mind the light."})
+    text = captioning.caption_instruction(p)
+    assert "single_paragraph" in text and p["settings"]["caption_instruction"] in text and "Maximum length: 120 words" in text and text.endswith("Mind the light.")
+    video = captioning.caption_instruction(REG.recipe("minimax_h3", "style", "tok"), "video")
+    assert '"tok"' in video and "Dataset type: style" in video and "No trigger word" in captioning.caption_instruction(REG.recipe("minimax_h3", "style"), "video")
+    retry = captioning.retry_instruction
+    assert retry("a", 0) == "a" != retry("a", 1) != retry("a", 2) == retry("a", 5)
+    assert REG.recipe("anima", "style", "t")["settings"]["official_tag_order"][0] == "quality_meta_year_safety"
 
 
 def test_profiles():
@@ -216,8 +224,11 @@ def test_report_parts():
     assert assessment(True, 1, 0, 0, 0, 9, 100) == assessment(True, 0, 0, 0, 3, 10, 100) == assessment(True, 0, 0, 0, 0, 10, 79) == "REVIEW_RECOMMENDED"
     assert guidance(REG.recipe("krea2", "character"), 2, 1, 1) == ["krea_character_trigger_missing", "krea_1024_bucket_source_coverage_incomplete", "krea_character_recurring_descriptors", "krea_caption_recipe_revision_mixed"]
     assert guidance(REG.recipe("krea2", "style"), 2, 1, 1) == ["krea_1024_bucket_source_coverage_incomplete"] and guidance(REG.recipe("anima", "style"), 2, 1, 1) == []
-    text = text_summary({"complete": 1, "eligible": 2, "failed": 1, "issues": [{"image": "a", "stage": "crop", "reason": "r"}] * 5})
-    assert text.startswith("ATTENTION REQUIRED") and text.endswith("... and 2 more")
+    issue = {"image": "a", "source_image": "b", "status": "failed", "stage": "crop", "reason": "r", "residual_detections": [{"label": "l", "confidence": 0.5, "bbox_normalized": [0, 0, 1, 1]}] * 5}
+    text = text_summary({"complete": 1, "eligible": 2, "failed": 1, "issues": [issue] * 2})
+    assert text.startswith("ATTENTION REQUIRED\nMedia: images\nEligible pairs: 1/2 complete") and text.count("- [FAILED] a (source: b) (crop): r") == 2 and text.count("2 additional hit(s)") == 2
+    lines = display_lines("\n".join(["- " + "word " * 40] * 60))
+    assert len(lines) == 73 and lines[-1].startswith("\u2026") and all(len(x) <= 84 for x in lines[:-1]) and lines[1].startswith("  word")
 
 
 def test_expected_sizes(spark):
@@ -233,16 +244,54 @@ def test_boxes(spark):
     assert df.select(geo.union_box(F.array().cast("array<array<double>>")).alias("u")).first().u is None
 
 
-def test_report_row(spark):
+def test_report_of_the_tables(spark):
     import os
 
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
-    from sievecraft.plans.queries import QUERIES
+    from sievecraft.plans.queries import KREA, _report
 
-    row = QUERIES["dataset_report_row"](spark, "/root/testdata/sf0.001").first()
-    assert row.assessment == "REVIEW_RECOMMENDED" and json.loads(row.warning_counts) and row.eligible <= row.active
-    assert dataset_report
+    report = _report(spark, "/root/testdata/sf0.001")
+    shown = report_json(report, KREA, "now", most_listed=7)
+    assert shown["assessment"] == "REVIEW_RECOMMENDED" and shown["counts"]["eligible"] <= shown["counts"]["active"] and len(shown["quality"]["warning_items"]) == 7 and len(shown["review"]["failed"]) == 7
+    assert set(shown) == {"schema_version", "generated_at", "assessment", "training_ready", "counts", "duplicates", "quality", "captions", "training_handoff", "guidance", "naming", "distribution", "review"}
+    assert "Training guidance:" in text_summary({"dataset_report": shown})
+
+
+def test_paths():
+    assert stores.normalized_path('"a/../b"', "/x") == "/x/b" and stores.normalized_path("s3a://b/c/") == "s3a://b/c" and stores.is_within("/a/b", "/a") and not stores.is_within("/ab", "/a")
+    with pytest.raises(ValueError):
+        stores.normalized_path("  ")
+
+
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "a.png").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "b.png").write_bytes(b"y")
+    monkeypatch.setattr(files, "CELL_BYTES", 1_000_000)
+    got = {r.relative_path: r.content_hash for r in files.discover(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": hashlib.sha256(b"x" * 3_000_000).hexdigest(), "b.png": hashlib.sha256(b"y").hexdigest()}
+    assert ".avif" in files.image_suffixes(True) and ".avif" not in files.image_suffixes()
+
+
+def test_commands(monkeypatch):
+    monkeypatch.setattr(providers, "tool", lambda name, config: name)
+    config = probe.video_config({"target_frame_count": 48, "keep_audio": True, "start_time": 1})
+    command = providers.encode_command({"source_path": "s", "filter": "f"}, config, "t")
+    assert command[command.index("-t") + 1] == "2.000000000" and command[-1] == "t" and "aac" in command and command[command.index("-ss") + 1] == "1.000000"
+    assert "-an" in providers.encode_command({"source_path": "s", "filter": "f"}, probe.video_config({}), "t") and "pan=mono|c0=0.5*c0+0.5*c1+1.0*c2" in providers.dialogue_command("s", 0, 1, {}, 6)
+    with pytest.raises(RuntimeError):
+        providers.run_command(["false"])
+
+
+def test_original_video(tmp_path):
+    (tmp_path / "film.mkv").write_bytes(b"f")
+    assert sinks.original_video(str(tmp_path)) is None
+    (tmp_path / sinks.CLIP_MANIFEST).write_text(json.dumps({"source_video": str(tmp_path / "film.mkv")}))
+    assert sinks.original_video(str(tmp_path)) == str(tmp_path / "film.mkv")
+    with pytest.raises(FileNotFoundError):
+        sinks.original_video(str(tmp_path), str(tmp_path / "gone.mkv"))
 
 
 def test_overlap_join_matches_nested_loops(spark):

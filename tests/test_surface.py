@@ -21,10 +21,16 @@ def test_configurations():
     v = nodes.video_prep()[0]
     assert (v["resize_mode"], v["target_frame_count"], v["landscape_width"], v["keep_audio"]) == ("crop_to_fill", 107, 896, True)
     assert nodes.smart_crop()[0]["minimum_output_dimension"] == 512 and nodes.image_analyzer()[0]["image_size"] == 640
-    for bad in (lambda: nodes.caption_provider(model_name=" "), lambda: nodes.source(" "), lambda: nodes.cleanup("", "a", "b"), lambda: nodes.builder(None, {}, {}, "d", output_naming_mode="lora_name_numbered")):
+    assert nodes.cleanup()[0]["steps"] == 4 and nodes.cleanup(steps=99)[0]["steps"] == 50 and nodes.caption_provider(backend="Kobold")[0]["api_url"] == "http://localhost:5001/v1"
+    for bad in (
+        lambda: nodes.caption_provider(model_name=" "), lambda: nodes.caption_provider(backend="x"), lambda: nodes.source(" "), lambda: nodes.cleanup(vae=" "), lambda: nodes.cleanup(speed=1),
+        lambda: nodes.builder(None, {}, {}, "d", output_naming_mode="lora_name_numbered"), lambda: nodes.video_prep(encoder_preset="x"), lambda: nodes.video_prep(whisper_device="x"),
+    ):
         with pytest.raises(ValueError):
             bad()
-    assert nodes.run_summary('{"training_ready": true}').startswith("TRAINING READY")
+    assert nodes.run_summary('{"training_ready": true}')[0].startswith("TRAINING READY")
+    with pytest.raises(ValueError):
+        nodes.run_summary("[]")
 
 
 def test_http_captions():
