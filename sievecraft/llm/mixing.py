@@ -16,8 +16,6 @@ from .common import broadcast_within, internal, word_count, written
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Above this many sources, tables of one row per source are joined by sort-merge instead of a broadcast.
 MAX_BROADCAST_SOURCES = 100_000
-#: Files of the table of multipliers, one row per source, that each Newton step writes.
-_DUAL_FILES = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -58,7 +56,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         (F.col("target") >= cap * F.col("source_size")).alias("done"),
     )
     scales = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("scale"))
-    lam = written(_join_source(lam, scales).coalesce(_DUAL_FILES), "mix-dual")
+    lam = written(_join_source(lam, scales), "mix-dual", compact=True)
     for _ in range(steps):
         if lam.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -78,7 +76,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         inside = newton.isNotNull() & ~F.isnan(newton) & (F.abs(newton - F.col("lam")) < 20) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
         near = F.abs(g - t) <= tolerance * F.greatest(t, F.lit(1.0))
         step = F.when(F.col("done") | near, F.col("lam")).when((F.col("dg") > 0) & (g > 0) & (t > 0) & inside, newton).otherwise(beside)
-        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale").coalesce(_DUAL_FILES), "mix-dual")
+        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual", compact=True)
     return lam
 
 
@@ -106,7 +104,7 @@ def entropy_mix(
     Rounding runs along each source's documents, larger sizes first (by classes of half a doubling, then blocks by a hash, of which there are 64
     and one more for every block_rows rows of the table): what was taken before a document decides whether its fraction becomes a copy.
     """
-    sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    sizes = written(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes", compact=True)  # texts are read once
     hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets")
     blocks = 64 + (hist.agg(F.sum("n")).first()[0] or 0) // block_rows
@@ -124,7 +122,6 @@ def entropy_mix(
         F.floor(2 * F.log2(F.col("size") + 1)).cast("int").alias("cls"),
         F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).alias("block"),
     )
-    docs = written(docs, "mix-rates")
 
     # cumulative fractions: over (source, size class, block) first, a bounded number per source, then inside each of these
     cells = docs.groupBy("source", "cls", "block").agg(F.sum(F.round(F.col("frac") * 1e6).cast("long")).alias("f"))
