@@ -12,7 +12,6 @@ emitted, and no link is lost.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.functions.hashing import covering_masks
 from sievecraft.operators.components import connected_components
 
 from .common import ascii_lower, broadcast_within, internal, shuffle_partitions, written
@@ -69,15 +69,6 @@ def fingerprints(docs: DataFrame, words: int = 4, keys: tuple[str, ...] = ("doc_
     return docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def covering_masks(radius: int, bits: int = 64, seed: int = 5) -> list[int]:
-    """2^(radius+1) - 1 masks as signed longs. Vectors are dealt evenly, so that masks keep about half the bits."""
-    top = (1 << (radius + 1)) - 1
-    vectors = [1 + i % top for i in range(bits)]
-    random.Random(seed).shuffle(vectors)
-    masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(fingerprint, smallest fingerprint of its component) under links within the radius; fps are signed and distinct."""
     rest, out = np.sort(fps), []
@@ -260,7 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int
     zero and is linked like any other. Rows with null doc_id take part, but an identifier that is not null names their component if there
     is one. Repeated rows are returned each. An empty table gives an empty result. Other columns are ignored.
     """
-    fps = written(fingerprints(docs, words), "simhash-fp")
+    fps = written(fingerprints(docs, words), "simhash-fp", compact=True)
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     nodes = connected_components(fingerprint_links(distinct, radius, block))
     named = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "doc_id")

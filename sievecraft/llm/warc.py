@@ -139,7 +139,7 @@ def write_warc(
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    meta = written(rows.select("page_id", F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("bytes")), "warc-meta")
+    meta = written(rows.select("page_id", F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("bytes")), "warc-meta", compact=True)
     firsts = meta.where(F.col("bytes") >= min_payload).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.col("bytes").alias("b"), "first")
     total = meta.agg(F.sum(F.col("bytes").cast("long") + 512)).first()[0] or 0
     cuts = _splitters(meta, min(most_shards, max(1, -(-total // shard_bytes))))
