@@ -14,7 +14,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -380,3 +381,14 @@ def model_ids(payload: dict) -> list[str]:
     rows = payload.get("data") or payload.get("models") or []
     found = {str(r.get("id") or r.get("name") or r.get("model") or "") if isinstance(r, dict) else str(r) for r in rows}
     return sorted(found - {""}, key=str.casefold)
+
+
+_MODELS = "struct<data:array<struct<id:string,name:string,model:string>>,models:array<struct<id:string,name:string,model:string>>>"
+
+
+def listed_models(payload: Column) -> Column:
+    """model_ids for a column of payloads whose entries are objects."""
+    p = F.from_json(payload, _MODELS)
+    entries = F.coalesce(F.when(F.size(p["data"]) > 0, p["data"]), p["models"], F.array().cast("array<struct<id:string,name:string,model:string>>"))
+    names = F.array_distinct(F.filter(F.transform(entries, lambda m: F.coalesce(m["id"], m["name"], m["model"], F.lit(""))), lambda x: x != ""))
+    return F.transform(F.array_sort(F.transform(names, lambda x: F.struct(F.lower(x).alias("key"), x.alias("name")))), lambda x: x["name"])
