@@ -407,6 +407,23 @@ def test_features_and_swaps_match_brute_force():
     assert c.of([])[0] and tx.words_of("Ünï-x A1 \n".encode()) == ["Ünï".encode(), b"x", b"a1"]
 
 
+def brute_score(model, text):
+    found = set()
+    for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text or "").split(" "):
+        found |= brute_word_features(w.encode()) if w else set()
+    return 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found))))
+
+
+def test_scores_match_brute_force(spark, labelled, odd_docs):
+    docs, labels = labelled
+    model = tx.train(docs, labels)
+    assert len(model.weights) > 10
+    for some in (docs.limit(100), odd_docs):
+        texts = some.select("doc_id", "text").collect()
+        got = tx.score_documents(some, model).collect()
+        assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == sorted((str(d), round(float(brute_score(model, t)), 9)) for d, t in texts)
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(3)
     rows = [np.flatnonzero(rng.random(7) < 0.5) for _ in range(9)]
