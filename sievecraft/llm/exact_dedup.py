@@ -98,11 +98,12 @@ def exact_dedup(
     else:
         rows = docs.select(ident.alias("id"), ascii_lower(text).alias("norm"), place)
     rows = rows.select("*", _bucket(_key(F.col("norm"), F.col("id"), F.col("place")), splitters).alias("at"))
+    to = F.floor(F.col("b") * parts / (len(splitters) + 1)).cast("int")  # neighbouring buckets share a partition, so partitions are ranges of texts
     if carry:  # the row holds the text already; it is normalised again on the other side
-        rows = rows.select("row", "id", F.col("at.b").alias("b"), F.col("at.edge").alias("edge")).repartition(parts, "b")
+        rows = rows.select("row", "id", F.col("at.b").alias("b"), F.col("at.edge").alias("edge")).repartitionById(parts, to)
         rows = rows.withColumn("norm", ascii_lower(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
     else:
-        rows = rows.select("norm", "id", F.col("at.b").alias("b"), F.col("at.edge").alias("edge")).repartition(parts, "b")
+        rows = rows.select("norm", "id", F.col("at.b").alias("b"), F.col("at.edge").alias("edge")).repartitionById(parts, to)
 
     best, order = (F.min, F.asc_nulls_last) if keep == "smallest" else (F.max, F.desc_nulls_last)
     ordered = Window.partitionBy("norm", "b").orderBy(order("id"))

@@ -93,7 +93,7 @@ class _Roller:
             self.file, self.seq = None, self.seq + 1
 
 
-def _splitters(meta: DataFrame, shards: int, oversample: int = 16) -> np.ndarray:
+def _splitters(meta: DataFrame, shards: int, oversample: int = 64) -> np.ndarray:
     """Quantiles by bytes of a sample of the different page_ids, chosen by their hash, so that the same rows give the same shards on any cluster.
 
     About oversample ids for each shard reach the driver.
