@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     with scope() as made:
-        edges = written(edges, "cc")
+        edges = written(edges, "cc", compact=True)
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = mark(edges)
-    files = max(16, -(-before[0] // 500_000))  # rounds do not add edges to speak of; many tiny files cost more than they hold
+    files = max(4, -(-before[0] // 500_000))  # rounds do not add edges to speak of; many tiny files cost more than they hold
     for _ in range(max_rounds if before[0] else 0):
         old = made
         with scope() as made:
