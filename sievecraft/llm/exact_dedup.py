@@ -26,9 +26,8 @@ def _key(norm: Column, ident: Column, place: Column) -> Column:
     return F.struct(F.substring(norm, 1, PREFIX).alias("p"), F.xxhash64(norm).alias("x"), F.xxhash64(ident, place).alias("y"))
 
 
-def sample_splitters(docs: DataFrame, norm: Column, ident: Column, buckets: int, oversample: int = 10, seed: int = 17) -> list[tuple]:
-    """At most buckets-1 increasing keys. The sample (about buckets * oversample keys of bounded length) affects balance alone."""
-    n = docs.count()
+def sample_splitters(docs: DataFrame, norm: Column, ident: Column, buckets: int, n: int, oversample: int = 10, seed: int = 17) -> list[tuple]:
+    """At most buckets-1 increasing keys of a table of n rows. The sample (about buckets * oversample keys of bounded length) affects balance alone."""
     if not n or buckets < 2:
         return []
     share = min(1.0, buckets * oversample / n)
@@ -90,7 +89,8 @@ def exact_dedup(
     spark = docs.sparkSession
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     parts = shuffle_partitions(spark)
-    splitters = sample_splitters(docs, ascii_lower(text), ident, parts * max(1, min(buckets_per_partition, SPARE_BUCKETS // parts)))
+    n = docs.count()
+    splitters = sample_splitters(docs, ascii_lower(text), ident, parts * max(1, min(buckets_per_partition, SPARE_BUCKETS // parts)), n)
     place = F.monotonically_increasing_id().alias("place")
 
     if carry:
@@ -119,7 +119,7 @@ def exact_dedup(
         F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
         F.octet_length("norm").alias("bytes"),
     )
-    runs = written(runs, "exact-runs")
+    runs = written(runs, "exact-runs", rows=n)
 
     # one row for each bucket and text class at a splitter: no more than two per bucket but for hash collisions
     if keep == "smallest":
@@ -128,7 +128,7 @@ def exact_dedup(
         first = F.max(F.struct(F.col("best").isNotNull().alias("some"), "best", (-F.col("b")).alias("at")))
     sums = runs.where(F.col("edge") & (F.col("rn") == 1)).groupBy("sha", "bytes").agg(F.sum("n").alias("all_n"), first.alias("f"))
     sums = sums.select(F.col("sha").alias(internal("sha")), F.col("bytes").alias(internal("bytes")), "all_n", F.col("f.best").alias("all_best"), F.abs("f.at").alias("all_at"))
-    sums = broadcast_within(written(sums, "exact-sums"), 4 * SPARE_BUCKETS)
+    sums = broadcast_within(written(sums, "exact-sums", compact=True), 4 * SPARE_BUCKETS)
     joined = runs.join(sums, F.col("edge") & (F.col("sha") == F.col(internal("sha"))) & (F.col("bytes") == F.col(internal("bytes"))), "left")
     split = F.col("all_n").isNotNull()
     size, best_id = F.coalesce("all_n", "n"), F.when(split, F.col("all_best")).otherwise(F.col("best"))

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -294,10 +293,10 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **k
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))), **kwargs))
 
-    @F.pandas_udf("boolean")
-    def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = shared.value.scorer()
         for some in texts:
-            yield pd.Series([score(t) < threshold for t in some], dtype=bool)
+            yield pa.array([score(t.as_py()) < threshold for t in some], pa.bool_())
 
     return docs.where(passes(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,9 +115,9 @@ def _shard_of(spark: SparkSession, cuts: np.ndarray) -> Column:
         return F.lit(0)
     shared = spark.sparkContext.broadcast(cuts)  # at most most_shards numbers
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(np.int64), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, np.asarray(ids.to_numpy(zero_copy_only=False), np.int64), side="right").astype(np.int32))
 
     dealt = F.pmod(F.xxhash64("payload"), F.lit(len(cuts) + 1)).cast("int")
     return F.when(F.col("page_id").isNull(), dealt).otherwise(place(F.coalesce(F.col("page_id"), F.lit(0).cast("long"))))

@@ -53,7 +53,7 @@ def test_copies_of_one_identifier_spread_over_buckets(spark, keep):
     """Rows with null or one repeated identifier and equal text, a third of the table each, and still one row stays."""
     rows = [(None, "Copy"), (7, "copy"), (7, "Other"), (None, "nulls only")] * 300 + [(i, f"own {i % 50}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    splitters = ex.sample_splitters(docs, ex.ascii_lower(docs.text), docs.doc_id, 160)
+    splitters = ex.sample_splitters(docs, ex.ascii_lower(docs.text), docs.doc_id, 160, docs.count())
     assert len({y for p, x, y in splitters if p == "copy"}) > 3  # so the group's rows lie in several buckets
     got = ex.exact_dedup(docs, keep=keep, buckets_per_partition=40).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute_exact(rows, keep)
