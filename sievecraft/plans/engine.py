@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievecraft.functions.captions import apply_trigger, apply_video_trigger, whitespace_words
 from sievecraft.functions.geometry import crop_decision, protected_detections
@@ -56,7 +55,10 @@ def _version(config: dict | None, none: str = "none") -> str:
 
 @dataclass
 class CurationRun:
-    """source, destination: folders that driver and executors share, as plain paths or URIs. Providers are configurations, named by `provider`."""
+    """source, destination: folders that driver and executors share, as URIs, or as plain paths where these are Spark's default file system and mounted everywhere.
+
+    Providers are configurations, named by `provider`.
+    """
 
     spark: SparkSession
     source: str
@@ -225,7 +227,8 @@ class CurationRun:
         rows = own.join(written(made, "clips"), F.col("item_id") == F.col("m_id")).drop("m_id")
         o = F.col("output")
         video = F.struct(*(o[c].alias(c) for c in ("width", "height", "rotation", "fps", "frames", "duration")), F.col("orientation").alias("source_orientation"))
-        settings = F.from_json(F.lit(json.dumps(self.video)), T._infer_schema(self.video).simpleString())
+        raw = F.lit(json.dumps(self.video))
+        settings = F.from_json(raw, F.schema_of_json(raw))
         done = F.col("output").isNotNull() & F.col("problem").isNull()
         return rows.select(
             *own.columns, "problem", "excluded", F.col("output").isNull().alias("corrupt"), o["width"].alias("width"), o["height"].alias("height"), *(F.lit(None).cast("double").alias(c) for c in ("brightness_mean", "contrast_stddev", "edge_sharpness")),

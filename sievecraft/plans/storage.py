@@ -28,18 +28,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 _scopes: list[list[str]] = []
 #: A small table in hundreds of files costs more by its files than by its rows.
-LEAST_FILES, ROWS_A_FILE = 8, 5_000
+ROWS_A_FILE = 20_000
 
 
-def written(df: DataFrame, tag: str, compact: bool = False, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, compact: bool = False, rows: int | None = None, least: int = 8) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation.
 
     compact: narrow rows go through a shuffle that AQE brings to partitions of a good size, so that they make few files. rows: about how many items
-    the table is about; no more than a file for every ROWS_A_FILE of them is written, where there are more tasks than that.
+    the table is about; no more than a file for every ROWS_A_FILE of them is written, but `least`, where there are more tasks than that.
     """
     spark = df.sparkSession
     df = df.hint("rebalance") if compact else df
-    df = df if rows is None else df.coalesce(max(LEAST_FILES, rows // ROWS_A_FILE))
+    df = df if rows is None else df.coalesce(max(least, rows // ROWS_A_FILE))
     path = scratch(spark, tag)
     for scope in _scopes:
         scope.append(path)
