@@ -57,7 +57,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
     )
     scales = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("scale"))
     sources = targets.count()
-    lam = written(_join_source(lam, scales), "mix-dual", rows=sources)
+    lam = written(_join_source(lam, scales), "mix-dual", rows=sources, least=1)
     for _ in range(steps):
         if lam.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -77,7 +77,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         inside = newton.isNotNull() & ~F.isnan(newton) & (F.abs(newton - F.col("lam")) < 20) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
         near = F.abs(g - t) <= tolerance * F.greatest(t, F.lit(1.0))
         step = F.when(F.col("done") | near, F.col("lam")).when((F.col("dg") > 0) & (g > 0) & (t > 0) & inside, newton).otherwise(beside)
-        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual", rows=sources)
+        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual", rows=sources, least=1)
     return lam
 
 
@@ -108,7 +108,7 @@ def entropy_mix(
     n = sizes.count()
     sizes = written(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes", compact=True, rows=n)  # texts are read once
     hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist", rows=n)
-    targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets", rows=0)
+    targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets", rows=0, least=1)
     blocks = 64 + n // block_rows
     dual = broadcast_within(_solve(hist, targets, cap, steps, tolerance).select("source", "lam", "scale", "target", "source_size"), MAX_BROADCAST_SOURCES)
 

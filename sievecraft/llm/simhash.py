@@ -520,7 +520,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("node"), F.col("text").cast("binary").alias("text"))
     n = docs.count()
     sketch = _sketches(words, similarity, frequent_shingles(rows, words, n))
-    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch")
+    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch", rows=n)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))  # copies merge here
     keys = sketched.select(F.explode("keys").alias("k"), "node")
     shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared", rows=n)

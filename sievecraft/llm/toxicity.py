@@ -189,7 +189,7 @@ def training_problem(
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train pairs of numbers, so the broadcast is bounded
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
-    texts = written(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y")), "toxicity-train")
+    texts = written(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y")), "toxicity-train", rows=max_train)
     swaps = Counterfactuals(terms)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def training_problem(
     if not n1 or n1 == n:
         return None, {}, float(np.log((n1 + 1) / (n - n1 + 9)))
     counts = texts.select("text", "y").mapInArrow(every, "f long, y int").groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("y").cast("long")).alias("p")).where(F.col("c") >= min_docs)
-    counts = written(counts, "toxicity-counts")
+    counts = written(counts, "toxicity-counts", compact=True)
     expected = F.col("c") * (n1 / n)
     z = (F.col("p") - expected) / F.sqrt(expected * (1 - n1 / n) * (1 - F.col("c") / n) + 1e-9)
     level = float(np.sqrt(2 * np.log(max(counts.count(), 2))))
