@@ -33,11 +33,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = written(edges, "cc", compact=True)
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = mark(edges)
-    few = before[0] // 10  # an edge is narrow; rounds do not add edges to speak of
+    files = max(1, before[0] // 200_000)  # rounds do not add edges to speak of
     for _ in range(max_rounds if before[0] else 0):
         old = made
         with scope() as made:
-            edges = written(_small_star(_large_star(edges)), "cc", rows=few, least=1)
+            edges = written(_small_star(_large_star(edges)), "cc", files=files)
         for path in old:
             remove_path(edges.sparkSession, path)
         after = mark(edges)

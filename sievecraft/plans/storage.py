@@ -28,18 +28,24 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 _scopes: list[list[str]] = []
 #: A small table in hundreds of files costs more by its files than by its rows.
-ROWS_A_FILE = 20_000
+BYTES_A_FILE = 32 << 20
 
 
-def written(df: DataFrame, tag: str, compact: bool = False, rows: int | None = None, least: int = 8) -> DataFrame:
+def files_for(df: DataFrame, least: int = 8) -> int:
+    """How many files suit rows as large as df's, by the optimiser's estimate of its size; an estimate too high does no harm."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return min(1 << 30, max(least, int(str(size)) // BYTES_A_FILE))
+
+
+def written(df: DataFrame, tag: str, compact: bool = False, files: int | None = None) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation.
 
-    compact: narrow rows go through a shuffle that AQE brings to partitions of a good size, so that they make few files. rows: about how many items
-    the table is about; no more than a file for every ROWS_A_FILE of them is written, but `least`, where there are more tasks than that.
+    compact: narrow rows go through a shuffle that AQE brings to partitions of a good size, so that they make few files. files: the most files that
+    are written, where there are more tasks than that (see files_for).
     """
     spark = df.sparkSession
     df = df.hint("rebalance") if compact else df
-    df = df if rows is None else df.coalesce(max(least, rows // ROWS_A_FILE))
+    df = df if files is None else df.coalesce(files)
     path = scratch(spark, tag)
     for scope in _scopes:
         scope.append(path)
