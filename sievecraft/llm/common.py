@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.plans.storage import broadcast_within, move_path, path_exists, path_names, remove_path, scope, scratch, shared_dir, shuffle_partitions, written
+from sievecraft.plans.storage import broadcast_within, files_for, move_path, path_exists, path_names, remove_path, scope, scratch, shared_dir, shuffle_partitions, written
 
 __all__ = [
-    "broadcast_within", "move_path", "path_exists", "path_names", "remove_path", "scope", "scratch", "shared_dir", "shuffle_partitions", "written",
+    "broadcast_within", "files_for", "move_path", "path_exists", "path_names", "remove_path", "scope", "scratch", "shared_dir", "shuffle_partitions", "written",
     "table", "let", "ascii_lower", "word_count", "internal",
 ]
 

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_within, internal, let, shuffle_partitions, written
+from .common import ascii_lower, broadcast_within, files_for, internal, let, shuffle_partitions, written
 
 PREFIX = 24
 #: Up to so many buckets there are several for each partition.
@@ -118,7 +118,7 @@ def exact_dedup(
         F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
         F.octet_length("norm").alias("bytes"),
     )
-    runs = written(runs, "exact-runs", rows=n)
+    runs = written(runs, "exact-runs", files=files_for(docs))
 
     # one row for each bucket and text class at a splitter: no more than two per bucket but for hash collisions
     if keep == "smallest":

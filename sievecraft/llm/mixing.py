@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, internal, word_count, written
+from .common import broadcast_within, files_for, internal, word_count, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Above this many sources, tables of one row per source are joined by sort-merge instead of a broadcast.
@@ -56,8 +56,8 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         (F.col("target") >= cap * F.col("source_size")).alias("done"),
     )
     scales = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("scale"))
-    sources = targets.count()
-    lam = written(_join_source(lam, scales), "mix-dual", rows=sources, least=1)
+    files = max(1, targets.count() // 20_000)
+    lam = written(_join_source(lam, scales), "mix-dual", files=files)
     for _ in range(steps):
         if lam.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -77,7 +77,7 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float, steps: int, toleranc
         inside = newton.isNotNull() & ~F.isnan(newton) & (F.abs(newton - F.col("lam")) < 20) & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
         near = F.abs(g - t) <= tolerance * F.greatest(t, F.lit(1.0))
         step = F.when(F.col("done") | near, F.col("lam")).when((F.col("dg") > 0) & (g > 0) & (t > 0) & inside, newton).otherwise(beside)
-        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual", rows=sources, least=1)
+        lam = written(got.select("source", "target", "source_size", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "scale"), "mix-dual", files=files)
     return lam
 
 
@@ -105,10 +105,10 @@ def entropy_mix(
     Rounding runs along each source's documents, larger sizes first (by classes of half a doubling, then blocks by a hash, of which there are 64
     and one more for every block_rows rows of the table): what was taken before a document decides whether its fraction becomes a copy.
     """
-    n = sizes.count()
-    sizes = written(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes", compact=True, rows=n)  # texts are read once
-    hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist", rows=n)
-    targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets", rows=0, least=1)
+    n, files = sizes.count(), files_for(sizes)
+    sizes = written(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes", compact=True, files=files)  # texts are read once
+    hist = written(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist", files=files)
+    targets = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "mix-targets", files=1)
     blocks = 64 + n // block_rows
     dual = broadcast_within(_solve(hist, targets, cap, steps, tolerance).select("source", "lam", "scale", "target", "source_size"), MAX_BROADCAST_SOURCES)
 
@@ -137,7 +137,7 @@ def entropy_mix(
     half = F.lit(500_000)
     extra = (F.floor((end + half) / 1_000_000) - F.floor((end - f + half) / 1_000_000))
     copies = F.least(F.lit(int(cap)), F.col("base") + extra).cast("long")
-    rounded = written(placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), F.monotonically_increasing_id().alias("rid")), "mix-copies", rows=n)
+    rounded = written(placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), F.monotonically_increasing_id().alias("rid")), "mix-copies", files=files)
 
     # the rest of each source's rounding error goes to its largest document that can take most of it
     off = rounded.groupBy("source").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("off"))

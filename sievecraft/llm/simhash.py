@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sievecraft.functions.hashing import covering_masks
 from sievecraft.operators.components import connected_components
 
-from .common import ascii_lower, broadcast_within, internal, shuffle_partitions, written
+from .common import ascii_lower, broadcast_within, files_for, internal, shuffle_partitions, written
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -122,9 +122,9 @@ def _scan_buckets(radius: int):
     return run
 
 
-def _large(rows: DataFrame, block: int, n: int | None = None) -> DataFrame | None:
-    """big: the keys k with more than `block` rows; None if there are none. Sizes are partial aggregates. n: the texts they are about."""
-    big = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("k").alias("big")), "large-keys", rows=n)
+def _large(rows: DataFrame, block: int, files: int | None = None) -> DataFrame | None:
+    """big: the keys k with more than `block` rows; None if there are none. Sizes are partial aggregates."""
+    big = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("k").alias("big")), "large-keys", files=files)
     return big if big.limit(1).count() else None
 
 
@@ -484,16 +484,16 @@ def _similar_pivots(words: int, similarity: float):
     return run
 
 
-def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = 4096, shingles: int = 2_000_000, n: int | None = None) -> DataFrame:
+def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = 4096, shingles: int = 2_000_000, files: int | None = None) -> DataFrame:
     """Links a, b whose components are those of all pairs of that Jaccard similarity within the groups node, component.
 
     Each text of a group is read once, and its shingles are compared with those of the whole group. A group of more than `block` texts
     or `shingles` shingles is no task's, see spanning_links.
     """
     spark = rows.sparkSession
-    groups = written(groups.join(sketches.select("node", "n"), "node").select(F.col("component").alias("k"), "node", F.greatest("n", F.lit(1)).alias("w")), "similar-candidates", rows=n)
+    groups = written(groups.join(sketches.select("node", "n"), "node").select(F.col("component").alias("k"), "node", F.greatest("n", F.lit(1)).alias("w")), "similar-candidates", files=files)
     sizes = groups.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("s"))
-    big = written(sizes.where((F.col("m") > block) | (F.col("s") > shingles)).select(F.col("k").alias("big")), "large-groups", rows=n)
+    big = written(sizes.where((F.col("m") > block) | (F.col("s") > shingles)).select(F.col("k").alias("big")), "large-groups", files=files)
     small, large = _parted(groups, big if big.limit(1).count() else None)
     texts = rows.join(broadcast_within(small.select("node", "k"), 200_000), "node").select("k", "node", "text")
     links = texts.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "node").mapInArrow(_confirm(words, similarity), _LINKS)
@@ -518,22 +518,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     """
     parts, limit = shuffle_partitions(docs.sparkSession), preselect(similarity)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("node"), F.col("text").cast("binary").alias("text"))
-    n = docs.count()
+    n, files = docs.count(), files_for(docs)
     sketch = _sketches(words, similarity, frequent_shingles(rows, words, n))
-    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch", rows=n)
+    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch", files=files)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))  # copies merge here
     keys = sketched.select(F.explode("keys").alias("k"), "node")
-    shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared", rows=n)
-    small, large = _parted(shared, _large(shared, block, n))
+    shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared", files=files)
+    small, large = _parted(shared, _large(shared, block, files))
     wide = nodes.select("node", "wide")  # most keys have one text; fingerprints travel with the others alone
     links = small.join(wide, "node").select("k", "node", "wide").repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_wide(limit), _LINKS)
     if large is not None:
-        items = written(large.distinct().join(wide, "node").select("k", "node", F.col("wide").alias("item"), F.lit(1).cast("long").alias("w")), "similar-hot", rows=n)
+        items = written(large.distinct().join(wide, "node").select("k", "node", F.col("wide").alias("item"), F.lit(1).cast("long").alias("w")), "similar-hot", files=files)
         links = links.union(spanning_links(items, _near_pivots(limit), _linked_items(limit), block))
     groups = connected_components(links)
-    comps = connected_components(confirmed_links(rows, nodes, groups, words, similarity, block, n=n))
-    named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots", rows=n)
-    smallest = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest", rows=n)  # a scan, so that AQE may split the join
+    comps = connected_components(confirmed_links(rows, nodes, groups, words, similarity, block, files=files))
+    named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots", files=files)
+    smallest = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest", files=files)  # a scan, so that AQE may split the join
     label = named.join(smallest, "root").select(F.col("node").alias("label_node"), "component_id")
     return sketched.join(label, F.col("node") == F.col("label_node")).select("doc_id", "component_id")
 

@@ -189,7 +189,7 @@ def training_problem(
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train pairs of numbers, so the broadcast is bounded
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
-    texts = written(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y")), "toxicity-train", rows=max_train)
+    texts = written(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y")), "toxicity-train", files=8)
     swaps = Counterfactuals(terms)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
