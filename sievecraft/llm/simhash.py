@@ -339,11 +339,12 @@ def _sketches(words: int, similarity: float, frequent: tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
-            fps = [(wide_fingerprint(s) if len(s) else np.zeros(WIDE, np.uint64)).tobytes() for s in sets]
+            wide = [wide_fingerprint(s) if len(s) else np.zeros(WIDE, np.uint64) for s in sets]
             keys = [prefix_keys(s, similarity, frequent).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "wide", "n", "keys"])
+            fps, sizes = pa.array([int(x[0].view(np.int64)) for x in wide], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+            yield pa.record_batch([b.column(0), b.column(1), fps, pa.array([x.tobytes() for x in wide], pa.binary()), sizes, lists], names=["doc_id", "node", "fp", "wide", "n", "keys"])
 
     return run
 
@@ -484,6 +485,14 @@ def _similar_pivots(words: int, similarity: float):
     return run
 
 
+def simhash_links(nodes: DataFrame, radius: int = 4, block: int = 4096, files: int | None = None) -> DataFrame:
+    """Links a, b between the nodes of the rows node, fp whose components are those of all pairs of fingerprints within the radius."""
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads", files=files)
+    end = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"{name}_head")).hint("merge")
+    links = fingerprint_links(heads.select("fp"), radius, block).join(end("a"), "a").join(end("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return links.union(nodes.join(heads.hint("merge"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+
+
 def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = 4096, shingles: int = 2_000_000, files: int | None = None) -> DataFrame:
     """Links a, b whose components are those of all pairs of that Jaccard similarity within the groups node, component.
 
@@ -504,13 +513,15 @@ def confirmed_links(rows: DataFrame, sketches: DataFrame, groups: DataFrame, wor
     return links
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096, radius: int = 4) -> DataFrame:
     """doc_id, component_id over links of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
-    Candidates come from prefix filtering: shingles have one order for all texts, rare ones first, and two sets of that similarity have a common
-    shingle among the first ones of both, so texts that share one of these are compared, whatever their length. 512-bit SimHash fingerprints
-    leave out pairs that are far apart (see PRESELECT). What is left forms candidate groups by spanning links alone, over distinct texts,
-    keys of more than `block` texts by pivots (see spanning_links). Within a candidate group the similarity of the sets themselves decides.
+    Candidates are what SimHash links: every pair of 64-bit fingerprints of the sets within the radius, by the tables of near_duplicates(). Sets of
+    that similarity may lie farther apart, so a second way adds those. Prefix filtering: shingles have one order for all texts, rare ones first, and
+    two sets of that similarity have a common shingle among the first ones of both, so texts that share one of these are compared, whatever their
+    length. 512-bit SimHash fingerprints leave out pairs that are far apart (see PRESELECT). Both give spanning links alone, over distinct texts,
+    keys of more than `block` texts by pivots (see spanning_links). They form candidate groups, within which the similarity of the sets
+    themselves decides.
 
     Nulls count as empty texts; texts without words are alike; texts of any length are compared whole. Rows with null doc_id get component_id
     from the others of their group. Repeated rows are returned each. An empty table gives an empty result. Other columns are ignored,
@@ -520,7 +531,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("node"), F.col("text").cast("binary").alias("text"))
     n, files = docs.count(), files_for(docs)
     sketch = _sketches(words, similarity, frequent_shingles(rows, words, n))
-    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, wide binary, n long, keys array<long>"), "similar-sketch", files=files)
+    sketched = written(rows.mapInArrow(sketch, "doc_id long, node long, fp long, wide binary, n long, keys array<long>"), "similar-sketch", files=files)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("wide").alias("wide"), F.first("n").alias("n"))  # copies merge here
     keys = sketched.select(F.explode("keys").alias("k"), "node")
     shared = written(keys.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_shared, "k long, node long"), "similar-shared", files=files)
@@ -530,6 +541,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     if large is not None:
         items = written(large.distinct().join(wide, "node").select("k", "node", F.col("wide").alias("item"), F.lit(1).cast("long").alias("w")), "similar-hot", files=files)
         links = links.union(spanning_links(items, _near_pivots(limit), _linked_items(limit), block))
+    links = links.union(simhash_links(sketched.select("node", "fp").distinct(), radius, block, files))
     groups = connected_components(links)
     comps = connected_components(confirmed_links(rows, nodes, groups, words, similarity, block, files=files))
     named = written(nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id"), "similar-roots", files=files)

@@ -263,3 +263,52 @@ def test_groups_are_those_of_exact_similarity(spark, block):
     got = {x.doc_id: x.component_id for x in sh.similar_groups(docs, block=block).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
     assert 100 < len(set(got.values())) < len(texts) - 50
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_simhash_gives_candidates(spark, monkeypatch, block):
+    """With no prefix to meet in, texts whose fingerprints lie within the radius still form groups, and the sets decide within these."""
+    import random
+
+    import pyarrow as pa
+
+    sketches = sh._sketches
+
+    def without_prefixes(*args):
+        run = sketches(*args)
+
+        def bare(batches):
+            for b in run(batches):
+                yield pa.record_batch([pa.array([[]] * b.num_rows, pa.list_(pa.int64())) if name == "keys" else b[name] for name in b.schema.names], names=b.schema.names)
+
+        return bare
+
+    monkeypatch.setattr(sh, "_sketches", without_prefixes)
+    r = random.Random(8)
+    texts = ["", " \n", "one", "a a a a a a a", "a a a a a a a a a"]
+    for _ in range(25):
+        w = [f"v{r.randrange(4000)}" for _ in range(r.randint(100, 500))]
+        texts.append(" ".join(w))
+        for _ in range(3):
+            w = list(w)
+            w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    sets = [sh.shingle_set(t.encode(), 5) for t in texts]
+    close = components([(i, int(sh.majority(s)[0]) if len(s) else 0) for i, s in enumerate(sets)], 4)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if close[i] == close[j] and (common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(x.doc_id for x in sh.drop_near_duplicates(docs, block=block).collect())
+    assert got == [i for i in range(len(texts)) if find(i) == i]
+    assert len(got) < 0.7 * len(texts)
