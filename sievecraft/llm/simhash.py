@@ -234,8 +234,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -
     """Links a, b between the distinct fingerprints fp whose components are those of all pairs within the radius."""
     masks = covering_masks(radius)
     tables = F.array(*(F.lit(m).cast("long") for m in masks))
-    keys = distinct.select("fp", F.explode(F.transform(tables, lambda m, i: F.xxhash64(F.col("fp").bitwiseAND(m), i))).alias("k")).select("k", "fp")
     parts = shuffle_partitions(distinct.sparkSession)
+    spread = distinct.repartition(parts, "fp")  # few narrow rows lie in few tasks, which would hold all their keys
+    keys = spread.select("fp", F.explode(F.transform(tables, lambda m, i: F.xxhash64(F.col("fp").bitwiseAND(m), i))).alias("k")).select("k", "fp")
     small, large = _parted(keys, _large(keys, block))
     links = written(small.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_scan_buckets(radius), _LINKS), "simhash-links")
     if large is not None:
