@@ -18,11 +18,16 @@ def covering_masks(radius: int, bits: int = 64, seed: int = 5) -> list[int]:
     """2^(radius+1) - 1 masks as signed longs such that two longs that differ in at most `radius` bits agree under one of them.
 
     Every bit has a vector of radius+1 binary digits, and each non-zero vector v gives a mask of the bits whose vector has an odd product with v. Some
-    v is orthogonal to the vectors of any `radius` bits. Vectors are dealt evenly, so that masks keep about half the bits.
+    v is orthogonal to the vectors of any `radius` bits. Vectors are dealt evenly, so that masks keep about half the bits. Where there are more vectors than
+    bits, they have the first digit set: dealt from 1 on, few bits would have it, and a mask of those alone would let almost all pairs through. At a radius
+    of 6 every mask of 64 bits keeps 32 or all.
     """
     top = (1 << (radius + 1)) - 1
-    vectors = [1 + i % top for i in range(bits)]
-    random.Random(seed).shuffle(vectors)
+    if 1 << radius >= bits:
+        vectors = random.Random(seed).sample(range(1 << radius, top + 1), bits)
+    else:
+        vectors = [1 + i % top for i in range(bits)]
+        random.Random(seed).shuffle(vectors)
     masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 

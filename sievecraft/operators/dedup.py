@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.hashing import covering_masks, hamming
 from sievecraft.functions.text import casefold
+from sievecraft.plans.storage import shuffle_partitions
 
 from .components import connected_components
 
@@ -57,14 +58,17 @@ def caption_group_members(captions: DataFrame) -> DataFrame:
 def near_duplicate_pairs(hashes: DataFrame, distance: int = 6) -> DataFrame:
     """a, b, distance of distinct hash values within the distance, a < b; hashes has hash. Copies of a hash are one value here.
 
-    Candidates share their bits under one of the covering masks, about 32 of 64, so chance meetings stay rare as the table grows.
+    Candidates share their bits under one of the covering masks, about 32 of 64, so chance meetings stay rare as the table grows. A hash has 127 keys
+    at a distance of 6: hashes are spread over all partitions before their keys are made, and the join is never broadcast, as its size is estimated from the few
+    bytes of the hashes.
     """
     tables = F.array(*(F.lit(m).cast("long") for m in covering_masks(distance)))
     keys = F.transform(tables, lambda m, i: F.xxhash64(F.col("hash").bitwiseAND(m), i))
-    rows = hashes.select("hash").where("hash is not null").distinct().select("hash", F.explode(keys).alias("k"))
+    spread = hashes.select("hash").where("hash is not null").repartition(shuffle_partitions(hashes.sparkSession), "hash")
+    rows = spread.distinct().select("hash", F.explode(keys).alias("k"))
     left, right = rows.withColumnRenamed("hash", "a"), rows.withColumnRenamed("hash", "b")
     d = hamming(F.col("a"), F.col("b"))
-    return left.join(right, "k").where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
+    return left.join(right.hint("merge"), "k").where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
 
 
 def near_duplicate_groups(hashes: DataFrame, distance: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievecraft.functions.hashing import covering_masks
 from sievecraft.operators import dedup, manifest, naming, validation
 from sievecraft.plans.schema import COLUMNS, ITEMS, RESET, migrated
 from sievecraft.sources.sinks import Snapshots
@@ -118,6 +119,19 @@ def test_near_duplicates_are_exact_pairs(spark):
     assert groups and all(g.group_size >= 2 and g.minimum_distance <= 6 for g in groups)
 
 
+def test_masks_are_selective():
+    """A mask of few bits would let a share of all pairs through, which grows with the square of the hashes."""
+    for radius in (4, 5, 6, 7):
+        assert min((m & (2**64 - 1)).bit_count() for m in covering_masks(radius)) >= 20
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    """The keys of a hash are 127 times its size, which the optimiser does not see."""
+    pairs = dedup.near_duplicate_pairs(spark.range(50).select(F.xxhash64("id").alias("hash")))
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snapshots_and_migration(spark, tmp_path):
     store = Snapshots(spark, f"file://{tmp_path}/t")
     assert store.current() == 0
