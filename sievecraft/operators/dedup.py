@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.hashing import covering_masks, hamming
 from sievecraft.functions.text import casefold
-from sievecraft.plans.storage import shuffle_partitions
+from sievecraft.plans.storage import shuffle_partitions, written
 
 from .components import connected_components
 
@@ -77,7 +77,7 @@ def near_duplicate_groups(hashes: DataFrame, distance: int = 6) -> DataFrame:
     hashes has id, hash and content; items of equal content are no pair of their own, but each is linked to the items near its hash. A group's
     minimum distance is 0 if two contents share a hash.
     """
-    pairs = near_duplicate_pairs(hashes, distance)
+    pairs = written(near_duplicate_pairs(hashes, distance), "near-pairs", compact=True)
     nodes = connected_components(pairs.select("a", "b"))
     per_hash = hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("first"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     labelled = per_hash.join(nodes.withColumnRenamed("node", "hash"), "hash", "left").select("hash", "first", (F.col("c0") != F.col("c1")).alias("mixed"), F.coalesce("component", "hash").alias("root"), F.col("component").isNotNull().alias("linked"))
