@@ -38,3 +38,16 @@ def first_match(rules: list[tuple[Column, str]]) -> Column:
 def literal_pattern(text: str) -> str:
     """A case-insensitive regex for the text itself."""
     return r"(?iu)\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number from 0 on with so many decimals by its exact value, and a tie to even, as printf writes it; format_string rounds the shortest decimal form half up.
+
+    The number's upper and lower 26 bits are scaled apart, so that the distance from the middle between two results has an exact sign.
+    """
+    big = value * F.lit(134217729.0)  # 2^27 + 1
+    upper, scale, whole = big - (big - value), F.lit(float(10**digits)), 10**digits
+    low = F.floor(value * scale)
+    over = (upper * scale - (low + F.lit(0.5))) + (value - upper) * scale
+    n = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / whole).cast("string"), F.lit("."), F.lpad((n % whole).cast("string"), digits, "0"))

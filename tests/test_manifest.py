@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievecraft.functions.hashing import covering_masks
+from sievecraft.functions.text import fixed
 from sievecraft.operators import dedup, manifest, naming, validation
 from sievecraft.plans.schema import COLUMNS, ITEMS, RESET, migrated
 from sievecraft.sources.sinks import Snapshots
@@ -119,6 +120,13 @@ def test_near_duplicates_are_exact_pairs(spark):
     assert groups and all(g.group_size >= 2 and g.minimum_distance <= 6 for g in groups)
 
 
+def test_fixed_decimals_round_exact_values(spark):
+    """Ties in binary go to even; decimals that only look like ties go by the double that stands for them."""
+    values = [k / 1e6 for k in range(500, 6_000_000, 1000)] + [0.0, 0.8125, 5.6625, 0.7715, 0.8015, 1.9995, 0.9996, 12.3456789]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 3).alias("s")).collect()
+    assert [(r.v, r.s) for r in rows if r.s != f"{r.v:.3f}"] == []
+
+
 def test_masks_are_selective():
     """A mask of few bits would let a share of all pairs through, which grows with the square of the hashes."""
     for radius in (4, 5, 6, 7):
