@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.captions import caption_lines, joined_caption, normalize_error, profile_error, strip_reasoning, tags_of
 from sievecraft.functions.geometry import orientation, video_orientation
-from sievecraft.functions.text import basename, casefold, first_match, strip
+from sievecraft.functions.text import basename, casefold, first_match, fixed, strip
 from sievecraft.sources.files import media_type
 
 CLEAN_STATES = ("not_detected", "removed", "verified_clean", "cleaned_universal", "skipped_video")
@@ -255,7 +255,7 @@ def validation_facts(items: DataFrame, listing: DataFrame, profile: dict) -> Dat
             ("validation", "analysis_status_counts", F.when(eligible, status("analysis_status", "not_started"))), ("validation", "crop_status_counts", F.when(eligible, status("crop_status", "not_requested"))),
         ]),
         facts.counts(results, [
-            ("validation", "orientation_counts", F.when(sized, orientation(F.col("width"), F.col("height")))), ("validation", "aspect_ratio_counts", F.when(sized, F.format_string("%.3f", "aspect_ratio"))), ("validation", "media_type_counts", F.col("media_type")),
+            ("validation", "orientation_counts", F.when(sized, orientation(F.col("width"), F.col("height")))), ("validation", "aspect_ratio_counts", F.when(sized, fixed(F.col("aspect_ratio"), 3))), ("validation", "media_type_counts", F.col("media_type")),
         ]),
         facts.counts(results.select(F.explode("errors").alias("e")), [("validation", "error_counts", F.col("e"))]),
     )
