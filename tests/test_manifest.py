@@ -5,6 +5,7 @@ from sievecraft.functions.hashing import covering_masks
 from sievecraft.functions.text import fixed
 from sievecraft.operators import dedup, manifest, naming, validation
 from sievecraft.plans.schema import COLUMNS, ITEMS, RESET, migrated
+from sievecraft.sources import probe
 from sievecraft.sources.sinks import Snapshots
 
 SOURCE = "item_id string, source_path string, source_relative_path string, source_hash string, source_size long, source_mtime_ns long, output_image_path string, caption_path string, naming_sequence long"
@@ -164,3 +165,8 @@ def test_issues_and_overrides(spark):
 def test_audits_hold_for_no_rows(spark):
     a = validation.training_ready(validation.audits(items(spark)), F.lit(True)).first()
     assert a.watermark_audit_complete and a.analysis_audit_complete and a.crop_audit_complete and not a.training_ready
+
+
+def test_probe_parses_once(spark):
+    df = spark.range(1).select(probe.probe(F.concat(F.lit("{}"), F.col("id").cast("string"))).alias("p")).select("p.*")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
